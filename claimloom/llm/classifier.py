@@ -24,7 +24,7 @@ LEAST_TIMES = 4.0
 #: harmless words; of the floors, labelled rows choose the one that separates them best.
 FLOORS = 8
 #: Losing a share of the good documents counts so many times keeping that share of the others.
-COST = 8.0
+COST = 3.0
 #: Scale of scores against the Gumbel noise: the smaller, the closer the sample to the highest weights.
 TEMPERATURE = 0.02
 TOKEN = re.compile(r"\w+|[^\w\s]+")
