@@ -161,9 +161,12 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
+def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
+    return coded.select(key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_spec())
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer_spec()))
 
 
 #: Merges are beyond SQL: tested against the tokenizers library.
