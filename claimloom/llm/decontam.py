@@ -19,7 +19,7 @@ def words(text: Column) -> Column:
 
 def benchmark_grams(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (gram, len, h, items): each item's windows of `window` words; a shorter item is one window; no words, none."""
-    w = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
+    w = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("item is not null and size(w) > 0")
     w = w.withColumn("len", F.least(F.size("w"), F.lit(window)))
     part = F.slice("w", F.col("at"), F.col("len"))
     grams = w.select("item", "len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at")).select("item", "len", F.array_join(part, " ").alias("gram"), F.xxhash64(part).alias("h"))

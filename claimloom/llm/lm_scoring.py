@@ -130,7 +130,7 @@ def held_cells(left, right):
     grid = lambda x: np.where(x > 0, np.round(GRID * np.log2(np.maximum(x, 1e-30))), -9999).astype(np.int64)
     cells, place = np.unique(np.stack([_class(ctx), grid(p2), grid(word)], axis=1), axis=0, return_inverse=True)
     place = place.ravel()
-    return pa.table({"class": cells[:, 0], "a": cells[:, 1], "b": cells[:, 2], "n": np.bincount(place, minlength=len(cells)).astype(np.int64), "p2": np.bincount(place, p2, len(cells)), "c1": np.bincount(place, word, len(cells))})
+    return pa.table({"class": cells[:, 0], "a": cells[:, 1], "b": cells[:, 2], "n": np.bincount(place, minlength=len(cells)).astype(np.int64), "p2": np.bincount(place, p2, len(cells)).astype(float), "c1": np.bincount(place, word, len(cells)).astype(float)})
 
 
 def learn_mixture(cells: list, tokens: float, distinct: float):
