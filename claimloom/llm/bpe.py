@@ -46,6 +46,22 @@ def _tokenizer(spec: str):
     return t
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next free one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(i) if i in shown else chr(next(free)) for i in range(256)]
+
+
+def encode_word(word: str, spec: str) -> list[int]:
+    """Ids of one of split_words' words."""
+    tok, letters = _tokenizer(spec), _byte_letters()
+    if word in _specials(spec)[1]:
+        return [tok.token_to_id(word)]
+    return [x.id for x in tok.model.tokenize("".join([letters[c] for c in word.encode("utf-8", "surrogatepass")]))]
+
+
 @lru_cache(maxsize=1)
 def _specials(spec: str):
     import json
@@ -103,14 +119,8 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
         import pyarrow as pa
         from .keyed import pack
 
-        tok = _tokenizer(shared.value)
         asked = [pa.decompress(w.as_py(), decompressed_size=s.as_py(), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") for w, s in zip(t.column("words"), t.column("size"), strict=True)]
-        known: dict = dict.fromkeys(w for ws in asked for w in ws)
-        names = list(known)
-        for at in range(0, len(names), 20_000):
-            part = names[at : at + 20_000]
-            for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = e.ids
+        known = {w: encode_word(w, shared.value) for w in {w for ws in asked for w in ws}}
         sizes, ids, n_ids = [], [], []
         for ws in asked:
             got = [known[w] for w in ws]

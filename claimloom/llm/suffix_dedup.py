@@ -90,23 +90,27 @@ def _segments(texts, ids, found, flags, keys, shards: int, length: int):
 
     seen: list[dict[bytes, int]] = [{} for _ in range(shards)]
     where = []
-    for row, (b, (m, first, count)) in enumerate(zip(texts, found, strict=True)):
-        if not len(m):
-            continue
-        flag = flags[np.searchsorted(keys, m)]
-        some = np.flatnonzero(flag)
-        of = ((m[some] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).tolist()
-        for f, at, c, shard in zip(flag[some].tolist(), first[some].tolist(), count[some].tolist(), of, strict=True):
-            if f == 1:
-                todo = ((at, c, shard),)
-            else:
-                todo = [(x, 1, xxhash.xxh64_intdigest(b[x : x + length]) * shards >> 64) for x in range(at, at + c)]
-            for x, c1, shard1 in todo:
-                piece = b[x : x + c1 + length - 1]
-                least = seen[shard1].get(piece)
-                if least is None or ids[row] < least:
-                    seen[shard1][piece] = ids[row]
-                where.append((row, x, c1, shard1, piece))
+    wanted, kind = keys[flags > 0], flags[flags > 0]
+    if not len(wanted):
+        return [[] for _ in seen], [[] for _ in seen], where
+    m, first, count = (np.concatenate([r[i] for r in found]) for i in range(3))
+    at = np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)
+    some = np.flatnonzero(wanted[at] == m)
+    rows = np.repeat(np.arange(len(found)), [len(r[0]) for r in found])[some].tolist()
+    of = ((m[some] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).tolist()
+    ids = ids.tolist()
+    for row, f, at, c, shard in zip(rows, kind[at[some]].tolist(), first[some].tolist(), count[some].tolist(), of, strict=True):
+        b = texts[row]
+        if f == 1:
+            todo = ((at, c, shard),)
+        else:
+            todo = [(x, 1, xxhash.xxh64_intdigest(b[x : x + length]) * shards >> 64) for x in range(at, at + c)]
+        for x, c1, shard1 in todo:
+            piece = b[x : x + c1 + length - 1]
+            least = seen[shard1].setdefault(piece, ids[row])
+            if ids[row] < least:
+                seen[shard1][piece] = ids[row]
+            where.append((row, x, c1, shard1, piece))
     lists = [sorted(d) for d in seen]
     places = [{p: i for i, p in enumerate(x)} for x in lists]
     return lists, [[d[p] for p in x] for d, x in zip(seen, lists, strict=True)], [(row, x, c, sh, places[sh][p]) for row, x, c, sh, p in where]
