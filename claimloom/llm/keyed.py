@@ -7,6 +7,7 @@ entry, and a bucket answers in the batch's own order. Buckets cut the key space
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -54,9 +55,12 @@ def bucket_bounds(keys, buckets: int):
     return np.searchsorted(of, np.arange(buckets + 1))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """cut(df), then let go of the shuffle files behind it, which Spark else keeps until the driver collects garbage."""
-    out = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut(make()), then let go of the shuffle files behind it, which Spark else keeps until the driver collects garbage."""
+    df = make()
+    jvm, out = df.sparkSession.sparkContext._jvm, cut(df)
+    del df
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
     return out

@@ -170,7 +170,7 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     dealt, n = batched(docs.select(F.col(key).alias("k"), *keep, F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("t")), "t", batch_bytes, "k", *keep, "learn")
     n = max(n, 2 * HELD)
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("k", *keep, "learn", "t"), F.lit(n)))
-    counted = settle(count_words(dealt, n, HELD))
+    counted = settle(lambda: count_words(dealt, n, HELD))
     stats = [unpack(r["total"], 3, "uint64") for r in counted.where("batch = -1").select("total").toLocalIterator()]  # three numbers a bucket
     tokens, distinct, tokens_kept = (int(sum(int(s[i]) for s in stats)) for i in range(3))
     answers = counted.where("batch >= 0")

@@ -14,7 +14,7 @@ PART = 20
 BATCH_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 #: An anchor in more batches than this is hot: its strings are dealt out one by one, by their own hash.
-HOT_BATCHES = 64
+HOT_BATCHES = 1024
 
 
 def anchors(b: bytes, length: int = LENGTH, part: int = PART):
@@ -266,9 +266,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return pa.table({key: left.column("k"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     asked = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch long, n long, keys binary, more binary")
-    flags = settle(asked.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, n long, flags binary"))
+    flags = settle(lambda: asked.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, n long, flags binary"))
     sent = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(send, "shard int, batch long, n long, sizes binary, pieces binary, least binary")
-    repeats = settle(sent.groupBy("shard").applyInArrow(sort, "batch long, shard int, bits binary, low binary, m long"))
+    repeats = settle(lambda: sent.groupBy("shard").applyInArrow(sort, "batch long, shard int, bits binary, low binary, m long"))
     return dealt.groupBy("batch").cogroup(flags.unionByName(repeats, allowMissingColumns=True).groupBy("batch")).applyInArrow(cut_out, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
