@@ -55,7 +55,8 @@ def benchmark_summary(df: DataFrame) -> DataFrame:
 
 def per_signal(df: DataFrame) -> DataFrame:
     """(name, fires, correct): signals that take a side, against `expected`."""
-    x = df.select("expected", F.explode("signals").alias("s")).where("s.verdict in ('SUPPORT', 'CONTRADICT')")
+    # outer: else a filter on the array is pushed below and computes all signals again
+    x = df.select("expected", F.explode_outer("signals").alias("s")).where("s.verdict in ('SUPPORT', 'CONTRADICT')")
     ok = (F.col("s.verdict") == "SUPPORT") == (F.col("expected") == "SUPPORTED")
     return x.groupBy(F.col("s.name").alias("name")).agg(F.count("*").alias("fires"), F.count_if(ok).alias("correct"))
 

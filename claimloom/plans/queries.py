@@ -116,7 +116,7 @@ def per_signal(spark, d):
 
 
 def eight_rules(spark, d):
-    s = verified(spark, d, signals.EIGHT_RULES).select(F.explode("signals").alias("s"))
+    s = verified(spark, d, signals.EIGHT_RULES).select(F.explode_outer("signals").alias("s")).where("s is not null")
     return s.groupBy(F.col("s.name").alias("name"), F.col("s.verdict").alias("verdict")).agg(F.count("*").alias("n"))
 
 
