@@ -36,16 +36,6 @@ def _any():
     return regex.compile(rf"{SUFFIXES}|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(spec: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(spec)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 @lru_cache(maxsize=1)
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next free one from U+0100 on."""
@@ -54,33 +44,44 @@ def _byte_letters() -> list[str]:
     return [chr(i) if i in shown else chr(next(free)) for i in range(256)]
 
 
-def encode_word(word: str, spec: str) -> list[int]:
-    """Ids of one of split_words' words."""
-    tok, letters = _tokenizer(spec), _byte_letters()
-    if word in _specials(spec)[1]:
-        return [tok.token_to_id(word)]
-    return [x.id for x in tok.model.tokenize("".join([letters[c] for c in word.encode("utf-8", "surrogatepass")]))]
+class Codec:
+    """A tokenizer file read once: merges, special tokens and the word pattern."""
 
+    def __init__(self, spec: str):
+        import json
 
-@lru_cache(maxsize=1)
-def _specials(spec: str):
-    import json
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        names = sorted((x["content"] for x in json.loads(spec).get("added_tokens", [])), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.names = frozenset(names)
 
-    names = sorted((x["content"] for x in json.loads(spec).get("added_tokens", [])), key=len, reverse=True)
-    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None, frozenset(names)
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one of split_words' words."""
+        if word in self.names:
+            return [self.tokenizer.token_to_id(word)]
+        letters = _byte_letters()
+        return [x.id for x in self.tokenizer.model.tokenize("".join([letters[c] for c in word.encode("utf-8", "surrogatepass")]))]
 
+    def split_words(self, text: str | None) -> list[str]:
+        """The tokenizer's words of a whole text: special tokens, else runs of the normalised text that are merged on their own."""
+        if not text:
+            return []
+        if self.special and "<|" in text and (parts := self.special.split(text))[1:]:
+            return [w for p in parts for w in ([p] if p in self.names else self.split_words(p))]
+        if text.isascii():
+            return _latin().findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # final sigma is not told apart
+        return (_latin() if max(text) < chr(0x250) else _any()).findall(text)
 
-def split_words(text: str | None, spec: str) -> list[str]:
-    """The tokenizer's words of a whole text: special tokens, else runs of the normalised text that are merged on their own."""
-    if not text:
-        return []
-    special, names = _specials(spec)
-    if special and "<|" in text and (parts := special.split(text))[1:]:
-        return [w for p in parts for w in ([p] if p in names else split_words(p, spec))]
-    if text.isascii():
-        return _latin().findall(text.lower())
-    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # final sigma is not told apart
-    return (_latin() if max(text) < chr(0x250) else _any()).findall(text)
+
+@lru_cache(maxsize=1)
+def codec(spec: str) -> Codec:
+    """spec's codec. Each task brings its own copy of spec, which the cache compares in full: ask once a batch, not once a word."""
+    return Codec(spec)
 
 
 def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -96,13 +97,13 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
     buckets = max(1, n * batch_bytes // (4 * BUCKET_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # one file
 
-    def distinct(texts) -> list[list[str]]:
+    def distinct(texts, c: Codec) -> list[list[str]]:
         """The batch's distinct words by bucket, sorted."""
         from zlib import crc32
 
         seen: set[str] = set()
         for t in texts:
-            seen.update(split_words(t.as_py(), shared.value))
+            seen.update(c.split_words(t.as_py()))
         out: list[list[str]] = [[] for _ in range(buckets)]
         for w in sorted(seen):
             out[crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
@@ -111,7 +112,7 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
     def ask(t):
         import pyarrow as pa
 
-        rows = [(i, "\n".join(ws).encode("utf-8", "surrogatepass"), len(ws)) for i, ws in enumerate(distinct(t.column("t"))) if ws]
+        rows = [(i, "\n".join(ws).encode("utf-8", "surrogatepass"), len(ws)) for i, ws in enumerate(distinct(t.column("t"), codec(shared.value))) if ws]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * len(rows), pa.int64()), "size": pa.array([len(r[1]) for r in rows], pa.int64()), "words": pa.array([pa.compress(r[1], codec="zstd", asbytes=True) for r in rows], pa.binary())})
 
     def encode(t):
@@ -120,7 +121,8 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
         from .keyed import pack
 
         asked = [pa.decompress(w.as_py(), decompressed_size=s.as_py(), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") for w, s in zip(t.column("words"), t.column("size"), strict=True)]
-        known = {w: encode_word(w, shared.value) for w in {w for ws in asked for w in ws}}
+        c = codec(shared.value)
+        known = {w: c.encode_word(w) for w in {w for ws in asked for w in ws}}
         sizes, ids, n_ids = [], [], []
         for ws in asked:
             got = [known[w] for w in ws]
@@ -135,23 +137,23 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
         import pyarrow as pa
         from .keyed import unpack
 
-        tok = _tokenizer(shared.value)
+        c = codec(shared.value)
         found: dict[str, tuple[bytes, str]] = {}
-        mine = distinct(left.column("t"))
+        mine = distinct(left.column("t"), c)
         pieces: dict[int, str] = {}
         for r in right.to_pylist():
             ws = mine[r["bucket"]]
             sizes, ids = unpack(r["sizes"], r["n_words"], np.uint32), unpack(r["ids"], r["n_ids"], np.uint32)
             for i in np.unique(ids).tolist():
                 if i not in pieces:
-                    pieces[i] = tok.id_to_token(i)
+                    pieces[i] = c.tokenizer.id_to_token(i)
             ends, names, raw = np.cumsum(sizes).tolist(), [pieces[i] for i in ids.tolist()], ids.astype("<u4").tobytes()
             for w, a, b in zip(ws, [0, *ends], ends, strict=False):
                 if b > a:
                     found[w] = (raw[4 * a : 4 * b], " ".join(names[a:b]))
         out_ids, texts = [], []
         for t in left.column("t"):
-            got = [found[w] for w in split_words(t.as_py(), shared.value) if w in found]
+            got = [found[w] for w in c.split_words(t.as_py()) if w in found]
             out_ids.append(b"".join([g[0] for g in got]))
             texts.append(" ".join([g[1] for g in got]))
         return pa.table({key: left.column("k"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(texts, pa.string())})
