@@ -97,13 +97,30 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
     buckets = max(1, n * batch_bytes // (4 * BUCKET_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # one file
 
+    def shrink(batches):
+        import pyarrow as pa
+
+        zstd = pa.Codec("zstd")
+        for b in batches:
+            raw = [t.as_py().encode("utf-8", "surrogatepass") for t in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([len(t) for t in raw], pa.int64()), pa.array([zstd.compress(t, asbytes=True) for t in raw], pa.binary()), b.column("batch")], names=["k", "size", "z", "batch"])
+
+    def whole(t) -> list[str]:
+        """A batch's texts."""
+        import pyarrow as pa
+
+        zstd = pa.Codec("zstd")
+        return [zstd.decompress(z.as_py(), size.as_py(), asbytes=True).decode("utf-8", "surrogatepass") if size.as_py() else "" for z, size in zip(t.column("z"), t.column("size"), strict=True)]
+
+    dealt = dealt.mapInArrow(shrink, f"k {kind}, size long, z binary, batch long")  # texts move compressed one by one
+
     def distinct(texts, c: Codec) -> list[list[str]]:
         """The batch's distinct words by bucket, sorted."""
         from zlib import crc32
 
         seen: set[str] = set()
         for t in texts:
-            seen.update(c.split_words(t.as_py()))
+            seen.update(c.split_words(t))
         out: list[list[str]] = [[] for _ in range(buckets)]
         for w in sorted(seen):
             out[crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
@@ -112,7 +129,7 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
     def ask(t):
         import pyarrow as pa
 
-        rows = [(i, "\n".join(ws).encode("utf-8", "surrogatepass"), len(ws)) for i, ws in enumerate(distinct(t.column("t"), codec(shared.value))) if ws]
+        rows = [(i, "\n".join(ws).encode("utf-8", "surrogatepass"), len(ws)) for i, ws in enumerate(distinct(whole(t), codec(shared.value))) if ws]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * len(rows), pa.int64()), "size": pa.array([len(r[1]) for r in rows], pa.int64()), "words": pa.array([pa.compress(r[1], codec="zstd", asbytes=True) for r in rows], pa.binary())})
 
     def encode(t):
@@ -139,7 +156,8 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
 
         c = codec(shared.value)
         found: dict[str, tuple[bytes, str]] = {}
-        mine = distinct(left.column("t"), c)
+        texts = whole(left)
+        mine = distinct(texts, c)
         pieces: dict[int, str] = {}
         for r in right.to_pylist():
             ws = mine[r["bucket"]]
@@ -151,12 +169,12 @@ def encode_decode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "
             for w, a, b in zip(ws, [0, *ends], ends, strict=False):
                 if b > a:
                     found[w] = (raw[4 * a : 4 * b], " ".join(names[a:b]))
-        out_ids, texts = [], []
-        for t in left.column("t"):
-            got = [found[w] for w in c.split_words(t.as_py()) if w in found]
+        out_ids, decoded = [], []
+        for t in texts:
+            got = [found[w] for w in c.split_words(t) if w in found]
             out_ids.append(b"".join([g[0] for g in got]))
-            texts.append(" ".join([g[1] for g in got]))
-        return pa.table({key: left.column("k"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(texts, pa.string())})
+            decoded.append(" ".join([g[1] for g in got]))
+        return pa.table({key: left.column("k"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
 
     asked = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch long, size long, words binary")
     coded = asked.groupBy("bucket").applyInArrow(encode, "batch long, bucket int, n_words long, sizes binary, n_ids long, ids binary")
