@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SimHash, suffix arrays and merges are beyond SQL: run() is tested against brute-force stages.
+#: SimHash, suffix arrays and merges are beyond SQL. A brute-force test of run() is still missing.
 ORACLE_SQL = None
