@@ -18,21 +18,29 @@ FRONT = 200_000
 LEAF = 32
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64 bits: each is 1 if set in over half the XXH64 of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED):
+    """XXH64 of each word shingle, repeats included; the whole text is one shingle if it has no more words than that."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     hash_, line = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= size:
-        hs = np.array([hash_(line, seed)], np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-size].tolist()]
-        hs = np.fromiter((hash_(line[a : b - 1], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(words) - size + 1)
+        return np.array([hash_(line, seed)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-size].tolist()]
+    return np.fromiter((hash_(line[a : b - 1], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64 bits: each is 1 if set in over half the XXH64 of the word shingles, repeats included; 0 without words."""
+    import numpy as np
+
+    hs = shingle_hashes(text, size, seed)
+    if not len(hs):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hs), 65536):  # a long text is summed in parts
         ones += np.unpackbits(hs[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

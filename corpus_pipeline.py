@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, classifier, decontam, simhash, suffix_dedup
+from claimloom.llm import bpe, classifier, decontam, suffix_dedup
+from claimloom.llm import near_copies as near
 from claimloom.llm.common import table
 
 
@@ -22,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of least doc_id. Word shingles of five, bits as the shared default."""
-    groups = simhash.near_duplicates(docs, size=5)
+    """One document of each near-duplicate group: that of least doc_id. Documents link at a five-word shingle similarity of 0.8 or more, exactly."""
+    groups = near.near_copies(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
 
