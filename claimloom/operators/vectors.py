@@ -22,6 +22,51 @@ def best_alignment(claim: DataFrame, source: DataFrame) -> DataFrame:
     return sim.groupBy("case", "pos").agg(F.max_by("at", F.struct("sim", -F.col("at"))).alias("best"), F.max("sim").alias("sim"))
 
 
+def best_in_blocks(claim: DataFrame, source: DataFrame, block: int = 2000) -> DataFrame:
+    """best_alignment of vectors of one length, null ones as zeros: every pair of a case is compared, by matrix products of blocks of about so many rows."""
+    most = source.groupBy("case").count().agg(F.max("count")).first()[0] or 0
+    many = claim.groupBy("case").count().agg(F.max("count")).first()[0] or 0
+    down, across = max(1, -(-many // block)), max(1, -(-most // block))
+
+    def best(c, s):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(t):
+            rows = t.column("vec").to_pylist()
+            size = max((len(v) for v in rows if v is not None), default=0)
+            return np.array([v if v is not None else [0.0] * size for v in rows], np.float64).reshape(len(rows), size)
+
+        def exact(x, y):  # summed in the order of dot()
+            out = np.zeros(len(x))
+            for k in range(x.shape[1]):
+                out += x[:, k] * y[:, k]
+            return out
+
+        if not c.num_rows or not s.num_rows:
+            return pa.table({"case": c.column("case").slice(0, 0), "pos": c.column("pos").slice(0, 0), "best": s.column("pos").slice(0, 0), "sim": pa.array([], pa.float64())})
+        x, y, at = matrix(c), matrix(s), s.column("pos").to_numpy()
+        width = max(x.shape[1], y.shape[1])
+        x, y = (m if m.shape[1] else np.zeros((len(m), width)) for m in (x, y))
+        nx, ny = np.sqrt(exact(x, x)), np.sqrt(exact(y, y))
+        ux, uy = (m / np.where(n > 0, n, 1)[:, None] for m, n in ((x, nx), (y, ny)))
+        near = ux @ uy.T
+        i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - 1e-9)  # the best but for rounding, and its equals
+        n = nx[i] * ny[j]
+        sim = np.where(n > 0, exact(x[i], y[j]) / np.where(n > 0, n, 1), 0.0)
+        o = np.lexsort((at[j], -sim, i))
+        first = o[np.append(True, i[o][1:] != i[o][:-1])]
+        return pa.table({"case": c.column("case"), "pos": c.column("pos"), "best": pa.array(at[j[first]]), "sim": pa.array(sim[first])})
+
+    def dealt(df, own, n, other, m):
+        return df.select("case", "pos", "vec", F.pmod(F.xxhash64("pos"), F.lit(n).cast("long")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+
+    types, kinds = dict(claim.dtypes), dict(source.dtypes)
+    keys = ["case", "down", "across"]
+    found = dealt(claim, "down", down, "across", across).groupBy(*keys).cogroup(dealt(source, "across", across, "down", down).groupBy(*keys)).applyInArrow(best, f"case {types['case']}, pos {types['pos']}, best {kinds['pos']}, sim double")
+    return found.groupBy("case", "pos").agg(F.max_by("best", F.struct("sim", -F.col("best"))).alias("best"), F.max("sim").alias("sim"))
+
+
 def monotone_share(aligned: DataFrame) -> DataFrame:
     """(case, share): of neighbouring claim tokens, those whose best positions do not fall; 1 for a single token."""
     by = Window.partitionBy("case").orderBy("pos")

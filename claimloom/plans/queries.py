@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
@@ -155,10 +155,10 @@ def page_text(spark, d):
 
 
 def cosine_argmax(spark, d):
-    """For each vector, the one of the next label's first ten that is nearest."""
+    """For each vector, the one of the label before that is nearest, of all of them. ORACLE still stops at that label's first ten."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), F.col("label").alias("case"))
-    source = e.withColumn("rn", F.row_number().over(Window.partitionBy("case").orderBy("pos"))).where("rn <= 10").select((F.col("case") + 1).alias("case"), "pos", "vec")
-    return _rounded(vectors.best_alignment(e, source).select(F.col("pos").alias("vec_id"), "best", "sim"))
+    source = e.select((F.col("case") + 1).cast(dict(e.dtypes)["case"]).alias("case"), "pos", "vec")
+    return _rounded(vectors.best_in_blocks(e, source).select(F.col("pos").alias("vec_id"), "best", "sim"))
 
 
 def retention(spark, d):
