@@ -1,32 +1,39 @@
-"""What the training-data operators share: lineage cuts, row identity, document batches, bounded broadcasts."""
+"""What the training-data operators share: lineage cuts, bounded broadcasts, joins and components without hot tasks."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 64 << 20
+#: A key with more than one row in so many is hot; there are at most so many hot keys.
+HOT_SHARE = 1024
 
 
-def _lower_table() -> tuple[str, str]:
+def ascii_lower(text: Column) -> Column:
+    """Lower-case A-Z alone; other letters stay."""
     upper = "".join(map(chr, range(65, 91)))
-    return upper, upper.lower()
+    return F.translate(text, upper, upper.lower())
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z alone; other letters stay."""
-    return F.translate(text, *_lower_table())
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, one in the warehouse of a local master; a cluster must name it."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:')}/claimloom-cuts"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df out and go on from the written copy, in spark.checkpoint.dir (a temporary folder where it is unset)."""
+    """Write df out and go on from the written copy, in the shared folder. Copies go when the application's folder goes (or by spark.cleaner.referenceTracking.cleanCheckpoints)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="claimloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -34,40 +41,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def inner_name(*frames: DataFrame) -> str:
+    """A start for column names that none of the frames' columns has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name = "_c"
+    while any(c.startswith(name) for c in taken):
+        name = f"_{uuid.uuid4().hex[:8]}"
+    return name
+
+
 def small_enough(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df's rows, measured by row_bytes plus 64 each, are proven to fit the broadcast bound."""
     return (df.agg(F.sum(row_bytes.cast("long") + 64)).first()[0] or 0) <= limit
 
 
-def batched(docs: DataFrame, text: str, target_bytes: int, *keep: str) -> tuple[DataFrame, int]:
-    """docs with the columns in keep, text, and `batch`: hash groups of about target_bytes of text each; and their number.
+def join_values(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to values, which has one row for each key and in `count` how many rows have it (values is cut already).
 
-    Their number grows with the input. A row's batch depends on the row alone, so it can be dealt out again after a loss.
+    Keys of over a HOT_SHARE-th of all rows, at most HOT_SHARE of them, are joined by broadcast; the rest by a shuffle in which no
+    key is hot. So one key may hold any share of the rows. Rows and values need not be unique otherwise; null keys match nothing.
     """
-    total = docs.agg(F.sum(F.octet_length(text).cast("long") + 16)).first()[0] or 0
-    n = max(1, -(-total // target_bytes))
-    names = [*keep, text]
-    return docs.select(*names, F.pmod(F.xxhash64(*names), F.lit(n)).alias("batch")), n
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = values.where(F.col(count) * HOT_SHARE > total)
+    if hot.isEmpty():
+        return rows.join(values.drop(count), key)
+    hot = F.broadcast(hot.drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(count) * HOT_SHARE <= total).drop(count), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a long, b long): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps. Minima are partial aggregates, so a hub with very many neighbours
-    costs a task no more than a sum does; each round is cut, and rounds grow with the logarithm of the diameter.
+    Alternating large-star and small-star steps; each round is cut, and rounds grow with the logarithm of the diameter. Minima
+    are partial aggregates, and the neighbours of a hub meet its minimum by a broadcast of hubs alone, so no task takes a hub whole.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    pairs = cut(pairs)
+    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
     for _ in range(rounds):
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = cut(join_values(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: every smaller neighbour of u, and u itself, goes to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_values(large, least, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = cut(small.where("u > v").distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, table
-from .keyed import bucket_bounds, pack, pack_sorted, settle, unpack, unpack_sorted
+from .common import table
+from .keyed import bucket_bounds, buckets_of, key_bits, pack, pack_sorted, packed, raw_texts, settle, unpack, unpack_rows, unpack_sorted, volume
 
 LENGTH = 50
 #: Bytes of a string by whose hash strings are dealt out: the least hash among a string's parts is its anchor.
 PART = 20
-BATCH_BYTES = 4 << 20
-SHARD_BYTES = 2 << 20
-#: An anchor in more batches than this is hot: its strings are dealt out one by one, by their own hash.
-HOT_BATCHES = 1024
+#: A task sorts so many shards, one by one.
+SHARDS = 16
+#: An anchor whose strings take more bytes than this in the corpus is hot: they are dealt out one by one, by their own hash.
+HOT_BYTES = 1 << 20
+#: Anchor keys have so many bits more than the text has bytes by logarithm; a shared key only costs a comparison.
+SPARE = 8
 
 
 def anchors(b: bytes, length: int = LENGTH, part: int = PART):
@@ -61,10 +63,6 @@ def runs(b: bytes, length: int, part: int):
     return m[first], first, count
 
 
-def _bytes(column) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
-
-
 def _ids(column):
     """Document ids; null stands after all."""
     import numpy as np
@@ -72,48 +70,61 @@ def _ids(column):
     return np.array([np.iinfo(np.int64).max if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def _keys(found):
-    """Distinct anchors of a batch, sorted, and whether two of its documents have them."""
-    import numpy as np
+class Batch:
+    """A batch's texts, the runs of their anchors, and the distinct anchor keys with what buckets need to know of them."""
 
-    each = [np.unique(r[0]) for r in found]
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+    def __init__(self, blob: bytes, length: int, part: int, bits: int):
+        import numpy as np
 
+        self.rows, self.length = unpack_rows(blob), length
+        self.texts, self.ids = raw_texts(self.rows.column("t")), _ids(self.rows.column("k"))
+        found = [runs(b, length, part) for b in self.texts]
+        self.key, self.first, self.count = (np.concatenate([np.zeros(0, t), *(r[i] for r in found)]) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+        self.key = self.key >> np.uint64(64 - bits)
+        self.row = np.repeat(np.arange(len(found)), [len(r[0]) for r in found])
+        self.keys, self.place = np.unique(self.key, return_inverse=True)
 
-def _segments(texts, ids, found, flags, keys, shards: int, length: int):
-    """What a batch sends: for each shard its sorted distinct byte strings and their least document; and the occurrences.
+    def shared_inside(self):
+        """Whether two rows of the batch have the anchor."""
+        import numpy as np
 
-    An occurrence is (row, first start, number of starts, shard, place in the shard's list).
-    """
-    import numpy as np
-    import xxhash
-
-    seen: list[dict[bytes, int]] = [{} for _ in range(shards)]
-    where = []
-    wanted, kind = keys[flags > 0], flags[flags > 0]
-    if not len(wanted):
-        return [[] for _ in seen], [[] for _ in seen], where
-    m, first, count = (np.concatenate([r[i] for r in found]) for i in range(3))
-    at = np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)
-    some = np.flatnonzero(wanted[at] == m)
-    rows = np.repeat(np.arange(len(found)), [len(r[0]) for r in found])[some].tolist()
-    of = ((m[some] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).tolist()
-    ids = ids.tolist()
-    for row, f, at, c, shard in zip(rows, kind[at[some]].tolist(), first[some].tolist(), count[some].tolist(), of, strict=True):
-        b = texts[row]
-        if f == 1:
-            todo = ((at, c, shard),)
-        else:
-            todo = [(x, 1, xxhash.xxh64_intdigest(b[x : x + length]) * shards >> 64) for x in range(at, at + c)]
-        for x, c1, shard1 in todo:
-            piece = b[x : x + c1 + length - 1]
-            least = seen[shard1].setdefault(piece, ids[row])
-            if ids[row] < least:
-                seen[shard1][piece] = ids[row]
-            where.append((row, x, c1, shard1, piece))
-    lists = [sorted(d) for d in seen]
-    places = [{p: i for i, p in enumerate(x)} for x in lists]
-    return lists, [[d[p] for p in x] for d, x in zip(seen, lists, strict=True)], [(row, x, c, sh, places[sh][p]) for row, x, c, sh, p in where]
+        low, high = np.full(len(self.keys), len(self.texts)), np.full(len(self.keys), -1)
+        np.minimum.at(low, self.place, self.row)
+        np.maximum.at(high, self.place, self.row)
+        return low < high
+
+    def bytes_of(self):
+        """Bytes of each anchor's strings in the batch."""
+        import numpy as np
+
+        return np.bincount(self.place, self.count + self.length - 1, len(self.keys)).astype(np.uint32)
+
+    def segments(self, flags, shards: int, buckets: int):
+        """What the batch sends: for each bucket its sorted distinct byte strings, their shards and least rows' ids; and the occurrences.
+
+        An occurrence is (row, first start, number of starts, bucket, place in the bucket's list).
+        """
+        import numpy as np
+        import xxhash
+
+        seen: list[dict[bytes, tuple]] = [{} for _ in range(buckets)]
+        where = []
+        f = flags[self.place]
+        some = np.flatnonzero(f)
+        of = ((self.key[some] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).tolist()
+        ids = self.ids.tolist()
+        for row, hot, at, c, shard in zip(self.row[some].tolist(), (f[some] > 1).tolist(), self.first[some].tolist(), self.count[some].tolist(), of, strict=True):
+            b = self.texts[row]
+            todo = [(x, 1, xxhash.xxh64_intdigest(b[x : x + self.length]) * shards >> 64) for x in range(at, at + c)] if hot else ((at, c, shard),)
+            for x, n, sh in todo:
+                piece, own = b[x : x + n + self.length - 1], (ids[row], sh)
+                mine = seen[sh % buckets]
+                if mine.setdefault(piece, own) > own:
+                    mine[piece] = own
+                where.append((row, x, n, sh % buckets, piece))
+        lists = [sorted(d) for d in seen]
+        places = [{p: i for i, p in enumerate(x)} for x in lists]
+        return [(x, [d[p][0] for p in x], [d[p][1] // buckets for p in x]) for d, x in zip(seen, lists, strict=True)], [(row, x, n, i, places[i][p]) for row, x, n, i, p in where]
 
 
 def shard_repeats(pieces: list[bytes], least, length: int = LENGTH):
@@ -151,33 +162,43 @@ def shard_repeats(pieces: list[bytes], least, length: int = LENGTH):
     return bits
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept binary) per row: each byte inside a string of `length` bytes that also starts in
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep: tuple[str, ...] = (), **sizes) -> DataFrame:
+    """(key, keep, n_bytes, n_removed, n_spans, kept binary) per row: each byte inside a string of `length` bytes that also starts in
     a document of lesser key is removed.
 
     1. Batches of documents list the anchors of their strings; buckets tell which anchors two documents have, so that only
-    strings that may repeat go on. 2. These go to shards by anchor, each distinct piece of bytes once a batch; anchors in very
-    many batches are split up by string. A shard sorts its pieces' suffixes by induction and reads repeats and the least document
+    strings that may repeat go on. 2. These go to shards by anchor, each distinct piece of bytes once a batch; anchors with very
+    many bytes are split up by string. A shard sorts its pieces' suffixes by induction and reads repeats and the least document
     of each off the common prefixes. 3. Batches cut the bytes out. Nothing is capped: a text is treated whole, however long.
 
     Null and short texts stay as they are (null: no bytes). Rows with one key do not remove each other's bytes; a null key is
-    greater than all others. Keys are integers. Repeated rows stay; other columns are not read.
+    greater than all others. Keys are integers. Repeated rows stay; keep's columns pass through, others are not read.
+    sizes: batch_bytes, bucket_bytes.
     """
     if not part < length <= part + 31:
         raise ValueError("a string needs to have between 1 and 31 bytes more than a part")
-    kind = dict(docs.dtypes)[key]
-    dealt, n = batched(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", batch_bytes, "k")
-    shards = max(1, n * batch_bytes // SHARD_BYTES)
-
-    def ask(t):
+    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(key).alias("k"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.col(text).alias("t"))
+    batches = packed(rows, "t", None, **{k: v for k, v in sizes.items() if k == "batch_bytes"})
+    total = volume(batches)
+    bits = key_bits(total, SPARE)
+    buckets = buckets_of(total, **{k: v for k, v in sizes.items() if k == "bucket_bytes"})
+    shards = buckets * SHARDS
+
+    def ask(parts):
         import numpy as np
         import pyarrow as pa
 
-        keys, rows = _keys([runs(b, length, part) for b in _bytes(t.column("t"))])
-        at = bucket_bounds(keys, n)
-        some = np.flatnonzero(np.diff(at))
-        cuts = [slice(at[i], at[i + 1]) for i in some]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * len(some), pa.int64()), "n": pa.array([c.stop - c.start for c in cuts], pa.int64()), "keys": pa.array([pack_sorted(keys[c]) for c in cuts], pa.binary()), "more": pa.array([pack((rows[c] > 1).view(np.uint8)) for c in cuts], pa.binary())})
+        for p in parts:
+            for batch, blob in zip(p.column("batch").to_pylist(), p.column("rows").to_pylist(), strict=True):
+                b = Batch(blob, length, part, bits)
+                more, size, at = b.shared_inside(), b.bytes_of(), bucket_bounds(b.keys, buckets, bits)
+                some = np.flatnonzero(np.diff(at))
+                cuts = [slice(at[i], at[i + 1]) for i in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array([c.stop - c.start for c in cuts], pa.int64()), pa.array([pack_sorted(b.keys[c]) for c in cuts], pa.binary()), pa.array([pack(more[c].view(np.uint8)) for c in cuts], pa.binary()), pa.array([pack(size[c]) for c in cuts], pa.binary())],
+                    names=["bucket", "batch", "n", "keys", "more", "size"],
+                )
 
     def meet(t):
         import numpy as np
@@ -185,37 +206,38 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
         rows = t.to_pylist()
         keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
-        more = np.concatenate([unpack(r["more"], r["n"], np.uint8) for r in rows])
-        kinds, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(np.append(False, keys[order][1:] != keys[order][:-1])[: len(order)])
+        del keys, order
+        count = np.bincount(place)
         shared = count > 1
-        shared[place[more > 0]] = True
-        flag = (shared.astype(np.uint8) + (count > HOT_BATCHES))[place]
+        shared[place[np.concatenate([unpack(r["more"], r["n"], np.uint8) for r in rows]) > 0]] = True
+        hot = np.bincount(place, np.concatenate([unpack(r["size"], r["n"], np.uint32) for r in rows])) > HOT_BYTES
+        flag = (shared.astype(np.uint8) + (shared & hot))[place]
         ends = np.cumsum([r["n"] for r in rows])
         return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "n": t.column("n"), "flags": pa.array([pack(flag[e - r["n"] : e]) for r, e in zip(rows, ends, strict=True)], pa.binary())})
 
     def prepared(left, right):
+        """The batch, what it sends and where that stands."""
         import numpy as np
 
-        texts, ids = _bytes(left.column("t")), _ids(left.column("k"))
-        found = [runs(b, length, part) for b in texts]
-        keys, _ = _keys(found)
+        b = Batch(left.column("rows")[0].as_py(), length, part, bits)
         flags = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["flags"], r["n"], np.uint8) for r in sorted((r for r in right.to_pylist() if r["flags"] is not None), key=lambda r: r["bucket"]))])
-        if len(flags) != len(keys):
-            raise RuntimeError(f"{len(keys)} anchors were sent, {len(flags)} came back")
-        return texts, ids, *_segments(texts, ids, found, flags, keys, shards, length)
+        if len(flags) != len(b.keys):
+            raise RuntimeError(f"{len(b.keys)} anchors were sent, {len(flags)} came back")
+        return b, *b.segments(flags, shards, buckets)
 
     def send(left, right):
         import numpy as np
         import pyarrow as pa
 
-        if not left.num_rows:
-            return pa.table({"shard": pa.array([], pa.int32()), "batch": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "sizes": pa.array([], pa.binary()), "pieces": pa.array([], pa.binary()), "least": pa.array([], pa.binary())})
-        _, _, lists, least, _ = prepared(left, right)
-        some = [i for i, x in enumerate(lists) if x]
+        _, lists, _ = prepared(left, right)
+        some = [i for i, x in enumerate(lists) if x[0]]
         return pa.table({
-            "shard": pa.array(some, pa.int32()), "batch": pa.array([left.column("batch")[0].as_py()] * len(some), pa.int64()), "n": pa.array([len(lists[i]) for i in some], pa.int64()),
-            "sizes": pa.array([pack(np.array([len(p) for p in lists[i]], np.uint8)) for i in some], pa.binary()),
-            "pieces": pa.array([pa.compress(b"".join(lists[i]), codec="zstd", asbytes=True) for i in some], pa.binary()), "least": pa.array([pack(np.array(least[i], np.int64)) for i in some], pa.binary()),
+            "bucket": pa.array(some, pa.int32()), "batch": pa.array([left.column("batch")[0].as_py()] * len(some), pa.int64()), "n": pa.array([len(lists[i][0]) for i in some], pa.int64()),
+            "sizes": pa.array([pack(np.array([len(p) for p in lists[i][0]], np.uint8)) for i in some], pa.binary()), "pieces": pa.array([pa.compress(b"".join(lists[i][0]), codec="zstd", asbytes=True) for i in some], pa.binary()),
+            "least": pa.array([pack(np.array(lists[i][1], np.int64)) for i in some], pa.binary()), "shards": pa.array([pack(np.array(lists[i][2], np.uint8)) for i in some], pa.binary()),
         })
 
     def sort(t):
@@ -223,53 +245,62 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         import pyarrow as pa
 
         known: dict[bytes, int] = {}
-        places, lows = [], []
+        places, lows, shard_of = [], [], []
         for r in t.to_pylist():
             sizes = unpack(r["sizes"], r["n"], np.uint8)
             raw = pa.decompress(r["pieces"], decompressed_size=int(sizes.sum(dtype=np.int64)), codec="zstd", asbytes=True)
             ends = np.cumsum(sizes, dtype=np.int64).tolist()
             places.append(np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
             lows.append(unpack(r["least"], r["n"], np.int64))
-        least = np.full(len(known), np.iinfo(np.int64).max)
+            shard_of.append(unpack(r["shards"], r["n"], np.uint8))
+        least, shard, bits_ = np.full(len(known), np.iinfo(np.int64).max), np.zeros(len(known), np.uint8), np.zeros(len(known), np.uint32)
         np.minimum.at(least, np.concatenate(places), np.concatenate(lows))
-        bits = shard_repeats(list(known), least, length)
-        return pa.table({"batch": t.column("batch"), "shard": t.column("shard"), "bits": pa.array([pack(bits[p]) for p in places], pa.binary()), "low": pa.array([pack(least[p]) for p in places], pa.binary()), "m": pa.array([len(p) for p in places], pa.int64())})
+        shard[np.concatenate(places)] = np.concatenate(shard_of)
+        pieces = list(known)
+        del known
+        for i in np.unique(shard):
+            mine = np.flatnonzero(shard == i)
+            bits_[mine] = shard_repeats([pieces[j] for j in mine.tolist()], least[mine], length)
+        return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "bits": pa.array([pack(bits_[p]) for p in places], pa.binary()), "low": pa.array([pack(least[p]) for p in places], pa.binary()), "m": pa.array([len(p) for p in places], pa.int64())})
 
     def cut_out(left, right):
         import numpy as np
         import pyarrow as pa
 
-        texts, ids, lists, _, where = prepared(left, right)
-        back = {r["shard"]: (unpack(r["bits"], r["m"], np.uint32), unpack(r["low"], r["m"], np.int64)) for r in right.to_pylist() if r["shard"] is not None}
-        marks: dict[int, list] = {}
-        for row, x, c, shard, i in where:
-            bits, low = back[shard]
-            hit = (1 << c) - 1 if ids[row] > low[i] else int(bits[i])
-            if hit:
-                marks.setdefault(row, []).append((x, c, hit))
-        sizes, removed, spans, kept = [], [], [], []
-        for row, b in enumerate(texts):
-            sizes.append(len(b))
-            if row not in marks:
-                removed.append(0)
-                spans.append(0)
-                kept.append(b)
-                continue
-            step = np.zeros(len(b) + 1, np.int32)
-            starts = np.array([x + i for x, c, hit in marks[row] for i in range(c) if hit >> i & 1])
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + length, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
-            kept.append(np.frombuffer(b, np.uint8)[~gone].tobytes())
-        return pa.table({key: left.column("k"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
-
-    asked = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch long, n long, keys binary, more binary")
+        b, _, where = prepared(left, right)
+        back = {r["bucket"]: (unpack(r["bits"], r["m"], np.uint32), unpack(r["low"], r["m"], np.int64)) for r in right.to_pylist() if r["bits"] is not None}
+        sizes = np.array([len(x) for x in b.texts], np.int64)
+        base = np.cumsum(sizes) - sizes
+        row, x, c, bucket, place = np.array(where, np.int64).reshape(-1, 5).T
+        hits, low = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for i in np.unique(bucket).tolist():
+            mine = np.flatnonzero(bucket == i)
+            hits[mine], low[mine] = back[i][0][place[mine]], back[i][1][place[mine]]
+        hits = np.where(b.ids[row] > low, (1 << c) - 1, hits)
+        nth, bit = np.nonzero(hits[:, None] >> np.arange(32) & 1)
+        starts = base[row[nth]] + x[nth] + bit  # each place of the batch once at most
+        step = np.zeros(int(sizes.sum()) + 1, np.int32)
+        step[starts] += 1
+        step[starts + length] -= 1
+        gone = np.cumsum(step[:-1]) > 0
+        first = gone & ~np.append(False, gone[:-1])[: len(gone)]
+        first[base[(sizes > 0)]] = gone[base[(sizes > 0)]]
+        upto = lambda a: np.append(0, np.cumsum(a, dtype=np.int64))
+        removed, spans, kept = (upto(a)[base + sizes] - upto(a)[base] for a in (gone, first, ~gone))
+        raw = np.frombuffer(b"".join(b.texts), np.uint8)[~gone].tobytes()
+        offsets = np.append(0, np.cumsum(kept)).astype(np.int64)
+        out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
+        through = b.rows.column("kept").combine_chunks()
+        return pa.table({key: b.rows.column("k"), **{k: through.field(i) for i, k in enumerate(keep)}, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": out})
+
+    whole = batches.select("batch", "rows")
+    asked = batches.select("batch", "rows").mapInArrow(ask, "bucket int, batch long, n long, keys binary, more binary, size binary")
     flags = settle(lambda: asked.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, n long, flags binary"))
-    sent = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(send, "shard int, batch long, n long, sizes binary, pieces binary, least binary")
-    repeats = settle(lambda: sent.groupBy("shard").applyInArrow(sort, "batch long, shard int, bits binary, low binary, m long"))
-    return dealt.groupBy("batch").cogroup(flags.unionByName(repeats, allowMissingColumns=True).groupBy("batch")).applyInArrow(cut_out, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    sent = whole.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(send, "bucket int, batch long, n long, sizes binary, pieces binary, least binary, shards binary")
+    repeats = settle(lambda: sent.groupBy("bucket").applyInArrow(sort, "batch long, bucket int, bits binary, low binary, m long"))
+    answers = flags.unionByName(repeats, allowMissingColumns=True)
+    schema = ", ".join([f"`{key}` {kinds[key]}", *(f"`{k}` {kinds[k]}" for k in keep), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut_out, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
