@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_enough, table
+from .common import ascii_lower, inner_name, small_enough, table
 
 WINDOW = 10
 #: Whatever is neither digit, lower-case ASCII letter nor outside ASCII separates words.
@@ -18,8 +18,8 @@ def words(text: Column) -> Column:
 
 
 def benchmark_grams(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (gram, len, h, items): each item's windows of `window` words; a shorter item is one window; no words, none."""
-    w = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("item is not null and size(w) > 0")
+    """Distinct (gram, len, h, items): each item's windows of `window` words; a shorter item is one window; no words, none. A null id names no item, but its windows count."""
+    w = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
     w = w.withColumn("len", F.least(F.size("w"), F.lit(window)))
     part = F.slice("w", F.col("at"), F.col("len"))
     grams = w.select("item", "len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at")).select("item", "len", F.array_join(part, " ").alias("gram"), F.xxhash64(part).alias("h"))
@@ -30,7 +30,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key:
     """One row per distinct (key, text): k, text_id, copies, n_words, spans, items.
 
     copies counts equal rows; spans are merged [from, to) word ranges inside occurrences, in order; items are the sorted
-    ids whose windows occur. Null or wordless texts have none; a null item id never counts. Grams go to every executor if
+    ids whose windows occur. Null or wordless texts have none; a null item id is in no list, but its words are hit. Grams go to every executor if
     their measured size is within the bound, else they are joined by a shuffle on their hash. A hash hit is verified on the words.
     Each text is one row that yields its windows as a stream, so a long text needs no more memory than its words.
     """
@@ -86,8 +86,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Rows are judged alone; equal rows share their fate. Columns and their order stay; a null key is a key as any other.
     """
     bad = find_hits(docs, benchmark, window, key, text).where(n_hit() > F.lit(min_hit) * F.col("n_words"))
-    bad = bad.select(F.col("k").alias("_k"), F.col("text_id").alias("_t"))
-    return docs.join(bad, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_t")), "left_anti")
+    c = inner_name(docs)
+    bad = bad.select(F.col("k").alias(f"{c}k"), F.col("text_id").alias(f"{c}t"))
+    return docs.join(bad, docs[key].eqNullSafe(F.col(f"{c}k")) & (F.xxhash64(docs[text]) == F.col(f"{c}t")), "left_anti")
 
 
 def n_hit() -> Column:
@@ -108,7 +109,7 @@ _WORDS = r"coalesce(regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7
 
 ORACLE = {
     "op1_decontamination": f"""
-with item as (select cast(item_id as varchar) item, {_WORDS.format('text')} w from benchmark where item_id is not null),
+with item as (select cast(item_id as varchar) item, {_WORDS.format('text')} w from benchmark),
 sized as (select item, w, least(len(w), 10) n from item where len(w) > 0),
 gram as (select item, n, array_to_string(w[i:i + n - 1], ' ') g from (select *, unnest(range(1, len(w) - n + 2)) i from sized)),
 doc as (select doc_id, {_WORDS.format('text')} w from documents),
@@ -116,7 +117,7 @@ lens as (select distinct n from gram),
 seen as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from doc, lens where len(w) >= n)),
 hit as (select doc_id, seen.n, i, item from seen join gram on seen.n = gram.n and seen.g = gram.g),
 word as (select doc_id, count(distinct p) n_hit from (select distinct doc_id, unnest(range(i, i + n)) p from hit) group by 1),
-ids as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, item from hit) group by 1)
+ids as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, item from hit where item is not null) group by 1)
 select doc.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from doc left join word using (doc_id) left join ids using (doc_id)"""
 }

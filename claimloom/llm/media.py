@@ -14,10 +14,16 @@ FRAME = 1024
 HOP = 512
 #: Pitches from MIDI 36 on count; a filter spans so many frames at most.
 LOW, WIDE = 36, 8
+#: Integers of two recordings, equal but for one bit at most, that must vote for an offset; the share of bits that may differ over
+#: the whole overlap there; and integers that must overlap (or all of the shorter recording).
 MIN_VOTES = 2
-MAX_ERROR = 0.10
-#: Query recordings are sent out in blocks of so many fingerprint integers.
-BLOCK_INTS = 1 << 19
+MAX_ERROR = 0.15
+MIN_OVERLAP = 16
+#: An integer at more places than this is hot: its places are dealt to so many tasks that each has no more.
+HOT_PLACES = 100_000
+#: The query's recordings: notes taken over from the next row, and noise of so much of a tone's amplitude.
+TAIL = 32
+NOISE = 0.02
 
 
 @lru_cache(maxsize=1)
@@ -77,8 +83,8 @@ def chroma_fingerprint(pcm):
     return out
 
 
-def render(values, note: int = 512):
-    """A recording of a vector: one note for each value, louder partials for larger ones. Null values are silent."""
+def render(values, note: int = 512, noise: float = 0.0, seed: int = 0):
+    """A recording of a vector: one note for each value, louder partials for larger ones, and white noise. Null values are silent."""
     import numpy as np
 
     v = np.array([0.0 if x is None else x for x in values], np.float32)
@@ -86,99 +92,102 @@ def render(values, note: int = 512):
     v = v / max(float(np.abs(v).max(initial=0)), 1e-9)
     hz = 440 * 2 ** ((57 + np.round(18 * v) - 69) / 12)
     phase = 2 * np.pi * np.cumsum(np.repeat(hz, note)) / RATE
-    return (np.sin(phase) + 0.3 * np.sin(2 * phase)).astype(np.float32)
+    pcm = (np.sin(phase) + 0.3 * np.sin(2 * phase)).astype(np.float32)
+    return pcm + np.random.default_rng(seed).normal(0, noise, len(pcm)).astype(np.float32) if noise else pcm
 
 
 def fingerprints(media: DataFrame, decode, key: str, column: str) -> DataFrame:
-    """(k, prints): decode turns the column's value into samples; null and short recordings have no prints."""
+    """(k, prints): decode turns (key, the column's value) into samples; null and short recordings have no prints."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            prints = [chroma_fingerprint(decode(x)).tolist() if x is not None else [] for x in b.column("x").to_pylist()]
+            prints = [chroma_fingerprint(decode(k, x)).tolist() if x is not None else [] for k, x in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(prints, pa.list_(pa.int64()))], names=["k", "prints"])
 
     src = media.select(F.col(key).alias("k"), F.col(column).alias("x"))
     return src.mapInArrow(run, f"k {dict(src.dtypes)['k']}, prints array<long>")
 
 
-def align(query, prints, index, places, owner, begins, min_votes: int, max_error: float):
-    """Recordings of a block that prints align with: (place in the block, offset, votes, share of bits that differ).
+def error_at(a, b, offset: int, min_overlap: int):
+    """The share of bits that differ where b, moved by offset, overlaps a; none for too short an overlap."""
+    import numpy as np
+
+    x, y = a[max(offset, 0) :], b[max(-offset, 0) :]
+    m = min(len(x), len(y))
+    if m < min(min_overlap, len(a), len(b)) or m < 1:
+        return None
+    return float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
+
 
-    Equal integers vote for an offset; the best offset of each recording is judged by the bits of all overlapping integers.
+def votes(queries: DataFrame, classes: DataFrame, hot: int = HOT_PLACES) -> DataFrame:
+    """(q, c, offset, votes): query and class of recordings have so many integers, equal but for one bit at most, at places that far apart.
+
+    An inverted index by integer: queries ask with each of their integers and its 32 neighbours. Hot integers' places are dealt to
+    several tasks, and are asked in each.
     """
-    import numpy as np
+    places = classes.select("c", F.posexplode("prints").alias("at", "v"))
+    many = places.groupBy("v").count().where(F.col("count") > hot).select("v", F.ceil(F.col("count") / hot).cast("int").alias("deals"))
+    many = F.broadcast(many)  # at most one row for each `hot` places
+    near = F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    asks = queries.select("q", F.posexplode("prints").alias("qat", "v")).select("q", "qat", F.explode(near).alias("v"))
+    places = places.join(many, "v", "left").select("v", "c", "at", F.pmod(F.xxhash64("c"), F.coalesce("deals", F.lit(1))).alias("deal"))
+    asks = asks.join(many, "v", "left").select("v", "q", "qat", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)).cast("long") - 1)).alias("deal"))
+    return asks.join(places, ["v", "deal"]).groupBy("q", "c", (F.col("at") - F.col("qat")).alias("offset")).agg(F.count("*").alias("votes"))
+
 
-    p = np.asarray(prints, np.uint32)
-    lo, hi = np.searchsorted(index, p), np.searchsorted(index, p, side="right")
-    n = hi - lo
-    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    who, offset = owner[places[at]], places[at] - begins[owner[places[at]]] - np.repeat(np.arange(len(p)), n)
-    pairs, votes = np.unique(np.stack([who, offset]), axis=1, return_counts=True)
-    order = np.lexsort((np.abs(pairs[1]), -votes, pairs[0]))
-    first = order[np.append(True, np.diff(pairs[0][order]) != 0)] if len(order) else order
-    for i in first:
-        w, o = int(pairs[0, i]), int(pairs[1, i])
-        whole = query[begins[w] : begins[w + 1]]
-        a, b = whole[max(o, 0) :], p[max(-o, 0) :]
-        m = min(len(a), len(b))
-        error = float(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)
-        if votes[i] >= min(min_votes, m) and error <= max_error:
-            yield w, o, int(votes[i]), error
-
-
-def search(media: DataFrame, decode, is_query, key: str, column: str, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, block_ints: int = BLOCK_INTS) -> DataFrame:
-    """(query, match, members, offset, votes, bit_error): for each query row, each class of recordings that aligns with it.
+def search(media: DataFrame, decode, is_query, key: str, column: str, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+    """(query, match, members, offset, votes, bit_error): for each query row, each class of recordings that aligns with it, at its best offset.
 
     Recordings of equal fingerprints are one class, named by its least key; members counts its rows (the query itself
-    included). Classes that hold queries are sent in blocks of bounded size to all classes, so a recording that a third
-    of the rows share is compared once. Recordings without prints match nothing; null keys are no queries and name no class.
-    Offsets are in frames from the query to the match.
+    included), so a recording that a third of the rows share is compared once. Integers that are equal but for a bit vote for an
+    offset (min_votes, or one for a recording of a single integer); every offset with the votes is judged by the bits of all overlapping integers, and the best one stays
+    (least error, most votes, least offset). Recordings without prints match nothing; null keys are no queries and name no class.
+    Offsets are in frames from the query's place to the match's: a match that starts later in time has a negative one. Keys may be of any type.
     """
     import numpy as np
 
-    prints = cut(fingerprints(media, decode, key, column).where("size(prints) > 0 and k is not null").withColumn("class", F.xxhash64("prints")))
-    classes = cut(prints.groupBy("class").agg(F.min("k").alias("match"), F.count("*").alias("members"), F.first("prints").alias("prints"), F.max(is_query(F.col("k"))).alias("asks")))
-    spark, found, block, size = media.sparkSession, [], [], 0
-
-    def against(block):
-        flat = np.concatenate([np.array(b[1], np.uint32) for b in block])
-        sizes = np.array([len(b[1]) for b in block])
-        begins = np.append(0, np.cumsum(sizes))
-        places = np.argsort(flat, kind="stable")
-        sent = spark.sparkContext.broadcast((flat, flat[places], places, np.repeat(np.arange(len(block)), sizes), begins, np.array([b[0] for b in block])))
-
-        def run(batches):
-            import pyarrow as pa
-
-            flat, index, places, owner, begins, names = sent.value
-            for b in batches:
-                rows = [(int(names[w]), m, c, o, v, e) for m, c, p in zip(b.column("match").to_pylist(), b.column("members").to_pylist(), b.column("prints").to_pylist(), strict=True) for w, o, v, e in align(flat, p, index, places, owner, begins, min_votes, max_error)]
-                yield pa.RecordBatch.from_pydict(dict(zip(("class", "match", "members", "offset", "votes", "bit_error"), map(pa.array, zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())), strict=True)))
-
-        return cut(classes.select("match", "members", "prints").mapInArrow(run, "class long, match long, members long, offset long, votes long, bit_error double"))
-
-    for r in classes.where("asks").select("class", "prints").toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= block_ints:
-            found.append(against(block))
-            block, size = [], 0
-    if block:
-        found.append(against(block))
-    queries = prints.where(is_query(F.col("k"))).select(F.col("k").alias("query"), "class")
-    empty = spark.createDataFrame([], "class long, match long, members long, offset long, votes long, bit_error double")
-    for f in found:
-        empty = empty.unionByName(f)
-    return queries.join(empty, "class").drop("class")
+    prints = cut(fingerprints(media, decode, key, column).where("size(prints) > 0 and k is not null").withColumn("c", F.xxhash64("prints")))
+    classes = cut(prints.groupBy("c").agg(F.min("k").alias("match"), F.count("*").alias("members"), F.first("prints").alias("prints"), F.max(is_query(F.col("k"))).alias("asks")))
+    asking = classes.where("asks").select(F.col("c").alias("q"), "prints")
+    found = votes(asking, classes).where(F.col("votes") >= min_votes)
+    single = F.size("prints") < min_votes
+    if not classes.where(single).isEmpty():  # recordings with too few integers for the votes: each of theirs is enough
+        short = classes.where(single).select("c")
+        few = votes(asking, classes).where(F.col("votes") < min_votes)
+        found = found.unionByName(few.join(short, "c", "left_semi")).unionByName(few.join(short.withColumnRenamed("c", "q"), "q", "left_semi")).distinct()
+    both = found.join(asking.withColumnRenamed("prints", "x"), "q").join(classes.select("c", F.col("prints").alias("y")), "c")
+
+    def check(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            errors = [error_at(np.array(y, np.uint32), np.array(x, np.uint32), o, min_overlap) for x, y, o in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("offset").to_pylist(), strict=True)]
+            keep = pa.array([e is not None and e <= max_error for e in errors], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), b.column("offset"), b.column("votes"), pa.array([e if e is not None else 9.0 for e in errors], pa.float64())], names=["q", "c", "offset", "votes", "bit_error"]).filter(keep)
+
+    good = both.select("q", "c", "offset", "votes", "x", "y").mapInArrow(check, "q long, c long, offset int, votes long, bit_error double")
+    best = good.groupBy("q", "c").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "offset")).alias("best"))
+    named = best.join(classes.select("c", "match", "members"), "c").select(F.col("q").alias("c"), "match", "members", F.col("best.offset").cast("long").alias("offset"), (-F.col("best.less")).alias("votes"), F.col("best.bit_error").alias("bit_error"))
+    queries = prints.where(is_query(F.col("k"))).select(F.col("k").alias("query"), "c")
+    return queries.join(named, "c").drop("c")
+
+
+def recordings(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", tail: int = TAIL) -> DataFrame:
+    """(key, column): each vector, scaled to a largest value of 1, followed by the first values of the row of the next key, so that recordings overlap in time."""
+    size = F.array_max(F.transform(column, lambda x: F.abs(x)))
+    vectors = vectors.where(F.col(column).isNotNull()).select(key, F.transform(column, lambda x: x / F.greatest(size, F.lit(1e-9))).alias(column))
+    after = vectors.groupBy((F.col(key) - 1).alias("_of")).agg(F.min(F.slice(column, 1, tail)).alias("_tail"))
+    both = vectors.join(after, F.col(key) == F.col("_of"), "left")
+    return both.select(key, F.concat(F.col(column), F.coalesce("_tail", F.slice(column, 1, 0))).alias(column))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    return search(media, render, lambda k: k % 20 == 0, "vec_id", "embedding")
+    media = recordings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return search(media, lambda k, x: render(x, noise=NOISE, seed=abs(k or 0)), lambda k: k % 20 == 0, "vec_id", "embedding")
 
 
-#: Signal processing is beyond SQL: tested by brute force.
+#: Signal processing is beyond SQL: matches and recall are tested against alignment by brute force at every offset.
 QUERIES = {"op7_media_columns": op7_media_columns}
 ORACLE: dict[str, str] = {}

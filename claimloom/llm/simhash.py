@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, small_enough, table
+from .common import connected_components, cut, join_values, small_enough, table
 
 BUDGET = 4
 SHINGLE = 4
@@ -75,50 +75,35 @@ def child_masks(mask: int, budget: int) -> list[int]:
     return [mask | m for m in _blocks(rest, budget + 1) if m] if len(rest) > budget else []
 
 
-def trie_links(mask, fp, budget: int = BUDGET):
-    """Spanning links (i, root) of rows within the budget, among rows that agree on mask and on fp & mask.
+def link(comp, a, b):
+    """comp (a root for each row) after rows a[i] and b[i] are joined; roots are least places."""
+    import numpy as np
+
+    while len(a):
+        ra, rb = comp[a], comp[b]
+        far = ra != rb
+        a, b, ra, rb = a[far], b[far], ra[far], rb[far]
+        if not len(a):
+            break
+        np.minimum.at(comp, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = comp[comp]
+            if (up == comp).all():
+                break
+            comp = up
+    return comp
+
+
+def descend(u, comp, starts, budget: int, meet):
+    """Walks pairs of trie nodes down from `starts` (arrays of two ranges each) over u, which is sorted within each range.
 
-    Rows are sorted, so a trie node is a range. Node pairs go down together from each root with itself, a bit at a time; a
-    pair gains an error where it takes different bits and is dropped over the budget, or once all of both nodes are linked already.
+    A trie node is a range of sorted fingerprints. A pair goes down a bit at a time, gains an error where it takes different bits,
+    and is dropped over the budget, or once all rows of both nodes have one root in comp. Where nodes are small, meet(a, b) gets
+    the pairs of rows within the budget that have different roots, and returns comp as it then is.
     """
     import numpy as np
 
-    u = fp.view(np.uint64)
-    key = fp & mask
-    order = np.lexsort((u, key, mask))
-    mask, key, u = mask[order], key[order], u[order]
     n = len(u)
-    comp = np.arange(n)
-    new = np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) if n else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-
-    def near(a, b):
-        return np.bitwise_count(u[a] ^ u[b]) <= budget
-
-    def link(comp, a, b):
-        while len(a):
-            ra, rb = comp[a], comp[b]
-            far = ra != rb
-            a, b, ra, rb = a[far], b[far], ra[far], rb[far]
-            if not len(a):
-                break
-            np.minimum.at(comp, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                up = comp[comp]
-                if (up == comp).all():
-                    break
-                comp = up
-        return comp
-
-    # neighbours in a few rotated orders join most of a dense group before the descent
-    for turn in (0, 16, 32, 48):
-        turned = u if not turn else u << np.uint64(turn) | u >> np.uint64(64 - turn)
-        o = np.lexsort((turned, group))
-        a, b = o[:-1], o[1:]
-        ok = (group[a] == group[b]) & near(a, b)
-        comp = link(comp, a[ok], b[ok])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], n)
     zeros = {}
 
     def split(lo, hi, depth):
@@ -126,26 +111,27 @@ def trie_links(mask, fp, budget: int = BUDGET):
             zeros[depth] = np.append(0, np.cumsum(1 - (u >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int64)))
         return lo + zeros[depth][hi] - zeros[depth][lo]
 
-    stack = [(0, first, last, first, last, np.zeros(len(first), np.int64))]
+    stack = [(0, *starts, np.zeros(len(starts[0]), np.int64))]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > FRONT:
             half = len(alo) // 2
             stack += [(depth, alo[half:], ahi[half:], blo[half:], bhi[half:], err[half:]), (depth, alo[:half], ahi[:half], blo[:half], bhi[:half], err[:half])]
             continue
-        change = np.append(0, np.cumsum(np.append(0, comp[1:] != comp[:-1])))  # changes before place i
+        change = np.append(0, np.cumsum(np.append(0, comp[1:] != comp[:-1])[:n]))  # changes before place i
         one = lambda lo, hi: change[hi] - change[np.minimum(lo + 1, n)] == 0
-        done = one(alo, ahi) & one(blo, bhi) & (comp[alo] == comp[blo])
-        live = ~done & (ahi > alo) & (bhi > blo)
+        live = (ahi > alo) & (bhi > blo)
         alo, ahi, blo, bhi, err = (x[live] for x in (alo, ahi, blo, bhi, err))
+        done = one(alo, ahi) & one(blo, bhi) & (comp[alo] == comp[blo])
+        alo, ahi, blo, bhi, err = (x[~done] for x in (alo, ahi, blo, bhi, err))
         small = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth == 64)
         if small.any():
             a0, an, b0, bn = alo[small], (ahi - alo)[small], blo[small], (bhi - blo)[small]
             reps = an * bn
             at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
             a, b = np.repeat(a0, reps) + at // np.repeat(bn, reps), np.repeat(b0, reps) + at % np.repeat(bn, reps)
-            ok = (a < b) & near(a, b) | (a > b) & near(a, b)
-            comp = link(comp, a[ok], b[ok])
+            ok = (a != b) & (np.bitwise_count(u[a] ^ u[b]) <= budget) & (comp[a] != comp[b])
+            comp = meet(np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]))
         alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
@@ -155,25 +141,87 @@ def trie_links(mask, fp, budget: int = BUDGET):
         alo, ahi, blo, bhi, err = map(np.concatenate, zip(*parts, strict=True))
         ok = (err <= budget) & (ahi > alo) & (bhi > blo)
         stack.append((depth + 1, alo[ok], ahi[ok], blo[ok], bhi[ok], err[ok]))
+    return comp
+
+
+def ranges(group, side):
+    """The trie roots to compare among rows sorted by (group, side): a group's one side with itself, or its first side with its second."""
+    import numpy as np
+
+    if not len(group):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])))
+    last = np.append(first[1:], len(group))
+    of = group[first]
+    two = np.append(of[1:] == of[:-1], False)
+    alone = ~two & ~np.append(False, two[:-1])
+    a, b = np.flatnonzero(two), np.flatnonzero(two) + 1
+    return tuple(np.concatenate([x[alone], x[y]]) for x, y in ((first, a), (last, a), (first, b), (last, b)))
+
+
+def trie_links(group, side, fp, budget: int = BUDGET):
+    """Spanning links (fp, root's fp) of rows within the budget in one group, between its two sides if it has two."""
+    import numpy as np
+
+    u = fp.view(np.uint64)
+    order = np.lexsort((u, side, group))
+    group, side, u = group[order], side[order], u[order]
+    n, comp = len(u), np.arange(len(u))
+    # neighbours in a few rotated orders join most of a dense group before the descent
+    for turn in (0, 16, 32, 48):
+        turned = u if not turn else u << np.uint64(turn) | u >> np.uint64(64 - turn)
+        o = np.lexsort((turned, group))
+        a, b = o[:-1], o[1:]
+        ok = (group[a] == group[b]) & (np.bitwise_count(u[a] ^ u[b]) <= budget)
+        comp = link(comp, a[ok], b[ok])
+
+    def meet(a, b):
+        nonlocal comp
+        comp = link(comp, a, b)
+        return comp
+
+    comp = descend(u, comp, ranges(group, side), budget, meet)
     moved = np.flatnonzero(comp != np.arange(n))
     return u[moved].view(np.int64), u[comp[moved]].view(np.int64)
 
 
+def in_blocks(rows: DataFrame, key: str, row: str, hot: int) -> DataFrame:
+    """rows with `block` and `side`: the rows of a key, or of two parts of a hot key, so that no block has over about 2 * hot rows.
+
+    A hot key's rows are dealt by the hash of `row` to parts of about `hot` rows, and each two parts meet in a block (side 0 and
+    1); a part meets itself alone (side 0). Every pair of a key's rows meets in one block.
+    """
+    many = rows.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(cut(many)), key, "left")  # at most one row for each `hot` rows
+    part = F.pmod(F.xxhash64(row), F.coalesce("parts", F.lit(1))).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j"), (part > j).cast("int").alias("side")))
+    rows = rows.withColumn("m", F.explode(meets))
+    return rows.withColumns({"block": F.xxhash64(key, "m.i", "m.j"), "side": F.col("m.side")}).drop("m", "parts")
+
+
+#: Times a hot block value is dealt out again by other bits before its rows are compared part by part.
+LEVELS = 3
+
+
 def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT_PREFIX, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Spanning links (a, b) among distinct fingerprints fp: two within the budget are connected by links, whatever the group's size.
 
     The tries are dealt out by prefix: two fingerprints within the budget agree on one of budget + 1 blocks of bits. A block
-    value that too many share (a dense group) is dealt out again by the blocks of the other bits, until none is hot or all bits are used.
+    value that too many share (a dense group) is dealt out again by the blocks of the other bits, LEVELS times at most; what is
+    still hot is compared in parts, each two of them in a task of their own.
     """
     from functools import reduce
 
     level = {m: child_masks(m, budget) for m in child_masks(0, budget)}
     rows = fps.select("fp", F.explode(F.array(*map(F.lit, level))).alias("mask"))
     ready = []
-    while True:
+    for depth in range(LEVELS + 1):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        if depth == LEVELS or not all(level.values()):
+            ready.append(rows)
+            break
         many = cut(rows.groupBy("mask", "key").count().where(F.col("count") > hot).select("mask", "key"))
-        if many.isEmpty() or not all(level.values()):
+        if many.isEmpty():
             ready.append(rows)
             break
         side = F.broadcast(many) if small_enough(many, F.lit(16)) else many
@@ -181,32 +229,37 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT_PREFIX, shard_row
         kids = F.create_map(*[x for m, c in level.items() for x in (F.lit(m), F.array(*map(F.lit, c)))])
         rows = rows.join(side, ["mask", "key"], "left_semi").select("fp", F.explode(kids[F.col("mask")]).alias("mask")).distinct()
         level = {m: child_masks(m, budget) for c in level.values() for m in c}
-    rows = reduce(DataFrame.unionByName, ready)
+    rows = cut(reduce(DataFrame.unionByName, ready).select("fp", F.xxhash64("mask", "key").alias("g")))  # a shared hash only compares more
     n = max(1, -(-rows.count() // shard_rows))
 
     def run(t):
         import pyarrow as pa
 
-        a, b = trie_links(t.column("mask").to_numpy().copy(), t.column("fp").to_numpy().copy(), budget)
+        a, b = trie_links(t.column("block").to_numpy(), t.column("side").to_numpy(), t.column("fp").to_numpy().copy(), budget)
         return pa.table({"a": a, "b": b})
 
-    dealt = rows.select("fp", "mask", F.pmod(F.xxhash64("mask", "key"), F.lit(n)).alias("shard"))
+    dealt = in_blocks(rows, "g", "fp", hot).select("fp", "block", "side", F.pmod("block", F.lit(n)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """(key, fp, component) per row: rows link where fingerprints differ in at most budget bits; component is the least key reachable.
 
-    Equal fingerprints are one node, so copies never make pairs. Null and wordless texts share fingerprint 0. A null key is
-    never least unless all of its component are null. Repeated rows stay rows. Other columns are not read.
+    Equal fingerprints are one node, so copies never make pairs; nodes of hot fingerprints and components are joined back by
+    broadcast. Null and wordless texts share fingerprint 0. A null key is never least unless all of its component are null.
+    Repeated rows stay rows. Other columns are not read.
     """
     fps = cut(fingerprints(docs, key, text, size))
-    nodes = cut(fps.groupBy("fp").agg(F.min("k").alias("least")))
-    parts = connected_components(links(nodes.select("fp"), budget))
-    nodes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
-    least = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
-    nodes = nodes.select("fp", "part").join(least, "part").select("fp", "component_id")
-    return fps.join(nodes, "fp").select(F.col("k").alias(key), "fp", "component_id")
+    nodes = cut(fps.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("rows")))
+    named = name_components(nodes, "fp", connected_components(links(nodes.select("fp"), budget)))
+    return join_values(fps, named, "fp", "rows").select(F.col("k").alias(key), "fp", "component_id")
+
+
+def name_components(nodes: DataFrame, node: str, parts: DataFrame) -> DataFrame:
+    """(node, component_id, rows) of nodes (node, least, rows) and their components: the least key of all a component's nodes."""
+    nodes = cut(nodes.join(parts.withColumnRenamed("node", node), node, "left").select(node, "least", "rows", F.coalesce("component", node).alias("part")))
+    least = cut(nodes.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    return cut(join_values(nodes.select(node, "rows", "part"), least, "part", "n").select(node, "component_id", "rows"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ LENGTH = 50
 #: Bytes of a string by whose hash strings are dealt out: the least hash among a string's parts is its anchor.
 PART = 20
 #: A task sorts so many shards, one by one.
-SHARDS = 16
+SHARDS = 8
 #: An anchor whose strings take more bytes than this in the corpus is hot: they are dealt out one by one, by their own hash.
 HOT_BYTES = 1 << 20
 #: Anchor keys have so many bits more than the text has bytes by logarithm; a shared key only costs a comparison.
@@ -127,6 +127,16 @@ class Batch:
         return [(x, [d[p][0] for p in x], [d[p][1] // buckets for p in x]) for d, x in zip(seen, lists, strict=True)], [(row, x, n, i, places[i][p]) for row, x, n, i, p in where]
 
 
+def met(pieces: list[bytes], length: int, part: int):
+    """Whether another piece has the same anchor: one that is alone with its anchor has no string in common with any other."""
+    import numpy as np
+
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    key = anchors(b"".join(pieces), length, part)[np.cumsum(sizes) - sizes]  # a piece's strings have one anchor
+    _, which, many = np.unique(key, return_inverse=True, return_counts=True)
+    return many[which] > 1
+
+
 def shard_repeats(pieces: list[bytes], least, length: int = LENGTH):
     """For each distinct piece a bit for each start: set if the string there also starts in a piece of a lesser document.
 
@@ -162,7 +172,7 @@ def shard_repeats(pieces: list[bytes], least, length: int = LENGTH):
     return bits
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep: tuple[str, ...] = (), **sizes) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep: tuple[str, ...] = (), characters: bool = False, **sizes) -> DataFrame:
     """(key, keep, n_bytes, n_removed, n_spans, kept binary) per row: each byte inside a string of `length` bytes that also starts in
     a document of lesser key is removed.
 
@@ -173,6 +183,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Null and short texts stay as they are (null: no bytes). Rows with one key do not remove each other's bytes; a null key is
     greater than all others. Keys are integers. Repeated rows stay; keep's columns pass through, others are not read.
+    characters: a character of which a byte is removed goes whole, so that what is left of valid UTF-8 is valid.
     sizes: batch_bytes, bucket_bytes.
     """
     if not part < length <= part + 31:
@@ -218,32 +229,35 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         ends = np.cumsum([r["n"] for r in rows])
         return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "n": t.column("n"), "flags": pa.array([pack(flag[e - r["n"] : e]) for r, e in zip(rows, ends, strict=True)], pa.binary())})
 
-    def prepared(left, right):
-        """The batch, what it sends and where that stands."""
+    def send(left, right):
         import numpy as np
+        import pyarrow as pa
 
         b = Batch(left.column("rows")[0].as_py(), length, part, bits)
-        flags = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["flags"], r["n"], np.uint8) for r in sorted((r for r in right.to_pylist() if r["flags"] is not None), key=lambda r: r["bucket"]))])
+        flags = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["flags"], r["n"], np.uint8) for r in sorted(right.to_pylist(), key=lambda r: r["bucket"]))])
         if len(flags) != len(b.keys):
             raise RuntimeError(f"{len(b.keys)} anchors were sent, {len(flags)} came back")
-        return b, *b.segments(flags, shards, buckets)
-
-    def send(left, right):
-        import numpy as np
-        import pyarrow as pa
-
-        _, lists, _ = prepared(left, right)
+        lists, where = b.segments(flags, shards, buckets)
         some = [i for i, x in enumerate(lists) if x[0]]
-        return pa.table({
-            "bucket": pa.array(some, pa.int32()), "batch": pa.array([left.column("batch")[0].as_py()] * len(some), pa.int64()), "n": pa.array([len(lists[i][0]) for i in some], pa.int64()),
-            "sizes": pa.array([pack(np.array([len(p) for p in lists[i][0]], np.uint8)) for i in some], pa.binary()), "pieces": pa.array([pa.compress(b"".join(lists[i][0]), codec="zstd", asbytes=True) for i in some], pa.binary()),
-            "least": pa.array([pack(np.array(lists[i][1], np.int64)) for i in some], pa.binary()), "shards": pa.array([pack(np.array(lists[i][2], np.uint8)) for i in some], pa.binary()),
-        })
+        batch = left.column("batch")[0].as_py()
+        out = {
+            "bucket": some, "n": [len(lists[i][0]) for i in some], "sizes": [pack(np.array([len(p) for p in lists[i][0]], np.uint8)) for i in some],
+            "pieces": [pa.compress(b"".join(lists[i][0]), codec="zstd", asbytes=True) for i in some], "least": [pack(np.array(lists[i][1], np.int64)) for i in some],
+            "shards": [pack(np.array(lists[i][2], np.uint8)) for i in some], "where": [None] * len(some),
+        }
+        # where the pieces stand, for the batch itself: it passes the shards by, in a group of its own
+        for name, value in (("bucket", -1 - batch), ("n", len(where)), ("sizes", None), ("pieces", None), ("least", None), ("shards", None), ("where", pack(np.array(where, np.int64).reshape(-1, 5).T.ravel()))):
+            out[name].append(value)
+        types = {"bucket": pa.int64(), "n": pa.int64()}
+        return pa.table({"batch": pa.array([batch] * len(out["n"]), pa.int64()), **{k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()}})
 
     def sort(t):
         import numpy as np
         import pyarrow as pa
 
+        if t.column("bucket")[0].as_py() < 0:
+            none = pa.array([None], pa.binary())
+            return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "n": t.column("n"), "bits": none, "low": none, "where": t.column("where")})
         known: dict[bytes, int] = {}
         places, lows, shard_of = [], [], []
         for r in t.to_pylist():
@@ -258,49 +272,61 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         shard[np.concatenate(places)] = np.concatenate(shard_of)
         pieces = list(known)
         del known
-        for i in np.unique(shard):
-            mine = np.flatnonzero(shard == i)
+        some = met(pieces, length, part)
+        for i in np.unique(shard[some]):
+            mine = np.flatnonzero((shard == i) & some)
             bits_[mine] = shard_repeats([pieces[j] for j in mine.tolist()], least[mine], length)
-        return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "bits": pa.array([pack(bits_[p]) for p in places], pa.binary()), "low": pa.array([pack(least[p]) for p in places], pa.binary()), "m": pa.array([len(p) for p in places], pa.int64())})
+        return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "n": t.column("n"), "bits": pa.array([pack(bits_[p]) for p in places], pa.binary()), "low": pa.array([pack(least[p]) for p in places], pa.binary()), "where": pa.array([None] * len(places), pa.binary())})
 
     def cut_out(left, right):
         import numpy as np
         import pyarrow as pa
 
-        b, _, where = prepared(left, right)
-        back = {r["bucket"]: (unpack(r["bits"], r["m"], np.uint32), unpack(r["low"], r["m"], np.int64)) for r in right.to_pylist() if r["bits"] is not None}
-        sizes = np.array([len(x) for x in b.texts], np.int64)
-        base = np.cumsum(sizes) - sizes
-        row, x, c, bucket, place = np.array(where, np.int64).reshape(-1, 5).T
+        rows = unpack_rows(left.column("rows")[0].as_py())
+        texts, ids = raw_texts(rows.column("t")), _ids(rows.column("k"))
+        answers = right.to_pylist()
+        here = next(r for r in answers if r["where"] is not None)
+        row, x, c, bucket, place = unpack(here["where"], 5 * here["n"], np.int64).reshape(5, -1)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        base = ends - sizes
         hits, low = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-        for i in np.unique(bucket).tolist():
-            mine = np.flatnonzero(bucket == i)
-            hits[mine], low[mine] = back[i][0][place[mine]], back[i][1][place[mine]]
-        hits = np.where(b.ids[row] > low, (1 << c) - 1, hits)
-        nth, bit = np.nonzero(hits[:, None] >> np.arange(32) & 1)
+        of = np.argsort(bucket, kind="stable")
+        cuts = dict(zip(*np.unique(bucket[of], return_index=True), strict=True))
+        for r in answers:
+            if r["bits"] is not None:
+                at = cuts[r["bucket"]]
+                mine = of[at : at + np.searchsorted(bucket[of[at:]], r["bucket"], "right")]
+                hits[mine], low[mine] = unpack(r["bits"], r["n"], np.uint32)[place[mine]], unpack(r["low"], r["n"], np.int64)[place[mine]]
+        hits = np.where(ids[row] > low, (1 << c) - 1, hits).astype("<u4")
+        nth, bit = np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
         starts = base[row[nth]] + x[nth] + bit  # each place of the batch once at most
         step = np.zeros(int(sizes.sum()) + 1, np.int32)
         step[starts] += 1
         step[starts + length] -= 1
-        gone = np.cumsum(step[:-1]) > 0
-        first = gone & ~np.append(False, gone[:-1])[: len(gone)]
-        first[base[(sizes > 0)]] = gone[base[(sizes > 0)]]
-        upto = lambda a: np.append(0, np.cumsum(a, dtype=np.int64))
-        removed, spans, kept = (upto(a)[base + sizes] - upto(a)[base] for a in (gone, first, ~gone))
-        raw = np.frombuffer(b"".join(b.texts), np.uint8)[~gone].tobytes()
-        offsets = np.append(0, np.cumsum(kept)).astype(np.int64)
-        out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
-        through = b.rows.column("kept").combine_chunks()
-        return pa.table({key: b.rows.column("k"), **{k: through.field(i) for i, k in enumerate(keep)}, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": out})
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        if characters and len(raw):
+            of = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)
+            gone = np.bincount(of, gone)[of] > 0
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        begins = base[sizes > 0]
+        first[begins] = gone[begins]
+        removed, spans = (np.diff(np.append(0, np.cumsum(a, dtype=np.int32)[ends - 1] * (ends > 0))) for a in (gone, first)) if len(gone) else (0 * sizes, 0 * sizes)
+        kept = raw[~gone].tobytes()
+        offsets = np.append(0, np.cumsum(sizes - removed)).astype(np.int64)
+        out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).cast(pa.binary())
+        through = rows.column("kept").combine_chunks()
+        return pa.table({key: rows.column("k"), **{k: through.field(i) for i, k in enumerate(keep)}, "n_bytes": sizes, "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64), "kept": out})
 
     whole = batches.select("batch", "rows")
     asked = batches.select("batch", "rows").mapInArrow(ask, "bucket int, batch long, n long, keys binary, more binary, size binary")
     flags = settle(lambda: asked.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, n long, flags binary"))
-    sent = whole.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(send, "bucket int, batch long, n long, sizes binary, pieces binary, least binary, shards binary")
-    repeats = settle(lambda: sent.groupBy("bucket").applyInArrow(sort, "batch long, bucket int, bits binary, low binary, m long"))
-    answers = flags.unionByName(repeats, allowMissingColumns=True)
+    sent = whole.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(send, "batch long, bucket long, n long, sizes binary, pieces binary, least binary, shards binary, where binary")
+    repeats = settle(lambda: sent.groupBy("bucket").applyInArrow(sort, "batch long, bucket long, n long, bits binary, low binary, where binary"))
     schema = ", ".join([f"`{key}` {kinds[key]}", *(f"`{k}` {kinds[k]}" for k in keep), "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut_out, schema)
+    return whole.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(cut_out, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
