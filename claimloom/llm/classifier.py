@@ -194,7 +194,7 @@ def gumbel_top_k(scored: DataFrame, k: int, key: Column, temperature: float = TE
         if step <= 0 or low + step == low:
             break
         at = F.least(F.floor((F.col("_noisy") - F.lit(low)) / F.lit(step)), F.lit(1023))
-        counts = dict(noisy.where((F.col("_key") >= low) & (F.col("_key") <= high)).groupBy(at.alias("bin")).agg(F.struct(F.count("*"), F.min("_noisy"), F.max("_noisy"))).collect())
+        counts = dict(noisy.where(F.col("_noisy").between(low, high)).groupBy(at.alias("bin")).agg(F.struct(F.count("*"), F.min("_noisy"), F.max("_noisy"))).collect())
         for b in sorted(counts, reverse=True):
             c, low_b, high_b = counts[b]
             if above + c >= k:

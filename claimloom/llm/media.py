@@ -14,15 +14,17 @@ FRAME = 1024
 HOP = 512
 #: Pitches from MIDI 36 on count; a filter spans so many frames at most.
 LOW, WIDE = 36, 8
-#: Integers of two recordings, equal but for one bit at most, that must vote for an offset; the share of bits that may differ over
-#: the whole overlap there; and integers that must overlap (or all of the shorter recording).
-MIN_VOTES = 2
+#: The share of bits that may differ over the whole overlap of two recordings, and the integers that must overlap.
 MAX_ERROR = 0.15
-MIN_OVERLAP = 16
-#: An integer at more places than this is hot: its places are dealt to so many tasks that each has no more.
+MIN_OVERLAP = 24
+#: A search key: the signs (16 bits) of so many integers, WIDE places apart, so that no frame counts twice.
+PARTS = 3
+#: Keys equal but for one bit at most that must vote for an offset.
+MIN_VOTES = 1
+#: A key at more places than this is hot: its places are dealt to so many tasks that each has no more.
 HOT_PLACES = 100_000
 #: The query's recordings: notes taken over from the next row, and noise of so much of a tone's amplitude.
-TAIL = 32
+TAIL = 44
 NOISE = 0.02
 
 
@@ -96,18 +98,36 @@ def render(values, note: int = 512, noise: float = 0.0, seed: int = 0):
     return pcm + np.random.default_rng(seed).normal(0, noise, len(pcm)).astype(np.float32) if noise else pcm
 
 
+def search_keys(prints, parts: int = PARTS):
+    """For each place the signs of the integers there, WIDE places on, and so forth, packed; a sign is the higher bit of a filter's two."""
+    import numpy as np
+
+    p = np.asarray(prints, np.uint32).astype(np.uint64)
+    n = len(p) - WIDE * (parts - 1)
+    if n < 1:
+        return np.zeros(0, np.int64)
+    signs = np.zeros(len(p), np.uint64)
+    for i in range(16):
+        signs |= (p >> np.uint64(2 * i + 1) & np.uint64(1)) << np.uint64(i)
+    out = np.zeros(n, np.uint64)
+    for j in range(parts):
+        out |= signs[j * WIDE : j * WIDE + n] << np.uint64(16 * j)
+    return out.view(np.int64)
+
+
 def fingerprints(media: DataFrame, decode, key: str, column: str) -> DataFrame:
-    """(k, prints): decode turns (key, the column's value) into samples; null and short recordings have no prints."""
+    """(k, prints, keys): decode turns (key, the column's value) into samples; null and short recordings have no prints."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            prints = [chroma_fingerprint(decode(k, x)).tolist() if x is not None else [] for k, x in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(prints, pa.list_(pa.int64()))], names=["k", "prints"])
+            prints = [chroma_fingerprint(decode(k, x)) if x is not None else [] for k, x in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True)]
+            keys = [search_keys(p).tolist() for p in prints]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([list(map(int, p)) for p in prints], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["k", "prints", "keys"])
 
     src = media.select(F.col(key).alias("k"), F.col(column).alias("x"))
-    return src.mapInArrow(run, f"k {dict(src.dtypes)['k']}, prints array<long>")
+    return src.mapInArrow(run, f"k {dict(src.dtypes)['k']}, prints array<long>, keys array<long>")
 
 
 def error_at(a, b, offset: int, min_overlap: int):
@@ -116,24 +136,23 @@ def error_at(a, b, offset: int, min_overlap: int):
 
     x, y = a[max(offset, 0) :], b[max(-offset, 0) :]
     m = min(len(x), len(y))
-    if m < min(min_overlap, len(a), len(b)) or m < 1:
-        return None
-    return float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
+    return None if m < max(min_overlap, 1) else float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
 
 
-def votes(queries: DataFrame, classes: DataFrame, hot: int = HOT_PLACES) -> DataFrame:
-    """(q, c, offset, votes): query and class of recordings have so many integers, equal but for one bit at most, at places that far apart.
+def votes(queries: DataFrame, classes: DataFrame, bits: int = 16 * PARTS, hot: int = HOT_PLACES) -> DataFrame:
+    """(q, c, offset, votes): query and class of recordings have so many keys, equal but for one bit at most, at places that far apart.
 
-    An inverted index by integer: queries ask with each of their integers and its 32 neighbours. Hot integers' places are dealt to
+    An inverted index by key: queries ask with each of their keys and its neighbours of one bit. A hot key's places are dealt to
     several tasks, and are asked in each.
     """
-    places = classes.select("c", F.posexplode("prints").alias("at", "v"))
+    places = classes.select("c", F.posexplode("keys").alias("at", "v"))
     many = places.groupBy("v").count().where(F.col("count") > hot).select("v", F.ceil(F.col("count") / hot).cast("int").alias("deals"))
-    many = F.broadcast(many)  # at most one row for each `hot` places
-    near = F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    asks = queries.select("q", F.posexplode("prints").alias("qat", "v")).select("q", "qat", F.explode(near).alias("v"))
-    places = places.join(many, "v", "left").select("v", "c", "at", F.pmod(F.xxhash64("c"), F.coalesce("deals", F.lit(1))).alias("deal"))
-    asks = asks.join(many, "v", "left").select("v", "q", "qat", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)).cast("long") - 1)).alias("deal"))
+    many = F.broadcast(cut(many))  # at most one row for each `hot` places
+    near = F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    asks = queries.select("q", F.posexplode("keys").alias("qat", "v")).select("q", "qat", F.explode(near).alias("v"))
+    deals = F.coalesce("deals", F.lit(1)).cast("long")
+    places = places.join(many, "v", "left").select("v", "c", "at", F.pmod(F.xxhash64("c"), deals).alias("deal"))
+    asks = asks.join(many, "v", "left").select("v", "q", "qat", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"))
     return asks.join(places, ["v", "deal"]).groupBy("q", "c", (F.col("at") - F.col("qat")).alias("offset")).agg(F.count("*").alias("votes"))
 
 
@@ -141,23 +160,18 @@ def search(media: DataFrame, decode, is_query, key: str, column: str, min_votes:
     """(query, match, members, offset, votes, bit_error): for each query row, each class of recordings that aligns with it, at its best offset.
 
     Recordings of equal fingerprints are one class, named by its least key; members counts its rows (the query itself
-    included), so a recording that a third of the rows share is compared once. Integers that are equal but for a bit vote for an
-    offset (min_votes, or one for a recording of a single integer); every offset with the votes is judged by the bits of all overlapping integers, and the best one stays
-    (least error, most votes, least offset). Recordings without prints match nothing; null keys are no queries and name no class.
-    Offsets are in frames from the query's place to the match's: a match that starts later in time has a negative one. Keys may be of any type.
+    included), so a recording that a third of the rows share is compared once. Keys that are equal but for a bit vote for an
+    offset; every offset with the votes is judged by the bits of all overlapping integers, and the best one stays (least error,
+    most votes, least offset). Recordings of fewer than min_overlap integers match nothing; null keys are no queries and name
+    no class. offset is the match's place less the query's, in frames. Keys may be of any type.
     """
     import numpy as np
 
-    prints = cut(fingerprints(media, decode, key, column).where("size(prints) > 0 and k is not null").withColumn("c", F.xxhash64("prints")))
-    classes = cut(prints.groupBy("c").agg(F.min("k").alias("match"), F.count("*").alias("members"), F.first("prints").alias("prints"), F.max(is_query(F.col("k"))).alias("asks")))
-    asking = classes.where("asks").select(F.col("c").alias("q"), "prints")
+    prints = cut(fingerprints(media, decode, key, column).where(F.size("prints") >= min_overlap).where("k is not null").withColumn("c", F.xxhash64("prints")))
+    classes = cut(prints.groupBy("c").agg(F.min("k").alias("match"), F.count("*").alias("members"), F.first("prints").alias("prints"), F.first("keys").alias("keys"), F.max(is_query(F.col("k"))).alias("asks")))
+    asking = classes.where("asks").select(F.col("c").alias("q"), "prints", "keys")
     found = votes(asking, classes).where(F.col("votes") >= min_votes)
-    single = F.size("prints") < min_votes
-    if not classes.where(single).isEmpty():  # recordings with too few integers for the votes: each of theirs is enough
-        short = classes.where(single).select("c")
-        few = votes(asking, classes).where(F.col("votes") < min_votes)
-        found = found.unionByName(few.join(short, "c", "left_semi")).unionByName(few.join(short.withColumnRenamed("c", "q"), "q", "left_semi")).distinct()
-    both = found.join(asking.withColumnRenamed("prints", "x"), "q").join(classes.select("c", F.col("prints").alias("y")), "c")
+    both = found.join(asking.select("q", F.col("prints").alias("x")), "q").join(classes.select("c", F.col("prints").alias("y")), "c")
 
     def check(batches):
         import pyarrow as pa

@@ -178,8 +178,8 @@ ORACLE = {
 with page as (select page_id, url, row_number() over () n,
     case when contains(url, '://') then {_HOST.format('url')} else '' end host,
     case when contains(url, '://') then {_PATH.format('url')} else '' end path from pages),
-both as (select *, {_CANON.format('host')} ch from page),
-canon as (select *, case when ch <> '' and path = '' then '/' else path end cp from both),
+named as (select *, {_CANON.format('host')} ch from page),
+canon as (select *, case when ch <> '' and path = '' then '/' else path end cp from named),
 list as (select {_CANON.format(_HOST.format('u'))} h, {_PATH.format('u')} p from (values {_values((x,) for x in _list_lines())}) l(u)),
 fit as (select n, h, p, v, 0 tier from canon join (values {_values(RULES)}) r(h, p, v) on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
     union all select n, h, p, 'block', 1 from canon join (select distinct h, case when p = '' then '/' else p end p from list where h <> '') l on (ch = h or ends_with(ch, '.' || h)) and starts_with(cp, p)),
