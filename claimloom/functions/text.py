@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Results depend on them.
-STOPWORDS = "the and for that this with from was were are has had have its his her their about into than then also only according source claim been being which who whom where when what how does did but can will would could should may might".split()
+STOPWORDS = (
+    "the", "and", "for", "that", "this", "with", "from", "was", "were", "are", "has", "had", "have", "its", "his", "her", "their", "about", "into", "than", "then", "also", "only", "according", "source", "claim",
+    "been", "being", "which", "who", "whom", "where", "when", "what", "how", "does", "did", "but", "can", "will", "would", "could", "should", "may", "might",
+)
 BLOCKED_ENTITIES = ("The", "This", "That", "There", "Here", "According", "Although", "However")
-RELATION = r"(?i)\b(?:founded|created|directed|written|produced|invented|composed|designed|organized|reviewed)\s+by\s+([^.;,\n]{2,70})"
+#: White space of any script, as a character class for Java and RE2 (\s is ASCII in both).
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RELATION = rf"(?i)\b(?:founded|created|directed|written|produced|invented|composed|designed|organized|reviewed){SPACE}+by{SPACE}+([^.;,\n]{{2,70}})"
 SENTENCE = r"[^.!?]+[.!?]+|[^.!?]+$"
-ENTITY = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}"
-NUMBER = r"\b\d[\d,]*(?:\.\d+)?%?\b"
+ENTITY = rf"\b[A-Z][a-z]+(?:{SPACE}+[A-Z][a-z]+){{0,3}}"
+NUMBER = r"\b\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?%?\b"
 
 
 def words_array(items) -> Column:
@@ -27,28 +32,47 @@ def clamp01(v: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
 
+def strip(t: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(t, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def collapse(t: Column) -> Column:
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(t, rf"{SPACE}+", " "))
 
 
 def normalize(t: Column) -> Column:
     """Lower case; other than ASCII is deleted, the curly apostrophe included."""
-    return F.regexp_replace(F.lower(t), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(F.lower(t), r"[^\x00-\x7F]+", "")
 
 
 def normalize_for_match(t: Column) -> Column:
-    return collapse(F.regexp_replace(normalize(t), r"[^a-z0-9.\s\"'%-]", " "))
+    return F.trim(F.regexp_replace(normalize(t), r"[^a-z0-9.\"'%-]+", " "))
+
+
+def _runs(normal: Column) -> Column:
+    return F.regexp_extract_all(normal, F.lit("[a-z0-9]{3,}"), F.lit(0))
 
 
 def tokenize(t: Column) -> Column:
     """Words of over two characters that are no stopwords, repeats kept."""
-    parts = F.split(F.regexp_replace(normalize_for_match(t), r"[^a-z0-9\s]", " "), r"\s+")
-    return F.filter(parts, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
+    return F.filter(_runs(normalize(t)), lambda w: ~w.isin(*STOPWORDS))
+
+
+def token_set(t: Column) -> Column:
+    """The distinct words of tokenize, in order."""
+    return F.array_except(_runs(normalize(t)), words_array(STOPWORDS))
+
+
+def token_sets(texts: Column) -> Column:
+    """token_set of each of an array's texts, none of which holds a line break; one pass over all of them."""
+    lines = F.split(normalize(F.array_join(texts, "\n")), "\n")
+    return F.transform(F.slice(lines, 1, F.size(texts)), lambda s: F.array_except(_runs(s), words_array(STOPWORDS)))
 
 
 def unique(items: Column) -> Column:
     """Trimmed items, each the first of those equal in any case; empty ones go."""
-    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    clean = F.filter(F.transform(items, strip), lambda x: x != "")
     return let(clean, lambda c: let(F.transform(c, lambda x: F.lower(x)), lambda low: F.filter(c, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
@@ -80,7 +104,7 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def token_coverage(claim: Column, evidence: Column) -> Column:
-    return share(tokenize(evidence), tokenize(claim))
+    return share(token_set(evidence), token_set(claim))
 
 
 def ngrams(tokens: Column, n: int = 5) -> Column:
@@ -92,6 +116,11 @@ def ngram_overlap(tokens: Column, normalized_source: Column, n: int = 5) -> Colu
     return let(ngrams(tokens, n), lambda grams: F.when(F.size(grams) > 0, F.size(F.filter(grams, lambda g: F.contains(normalized_source, g))) / F.size(grams)).otherwise(0.0))
 
 
-def node_id(kind: str, label: Column, index: Column) -> Column:
-    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 32)
+def node_id(kind: str, label: Column, index: Column, width: int = 32) -> Column:
+    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, width)
     return F.concat(F.lit(f"{kind}:"), F.when(slug != "", slug).otherwise(index.cast("string")))
+
+
+def percent(share: Column) -> Column:
+    """A share as a whole number of percent, halves to even, with the sign."""
+    return F.concat(F.bround(share * 100).cast("int").cast("string"), F.lit("%"))

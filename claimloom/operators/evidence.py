@@ -10,40 +10,43 @@ from claimloom.functions import text as T
 LIMIT = 3
 
 
-def _scores(claim_tokens: Column, window_tokens: Column) -> tuple[Column, Column]:
-    hits = F.size(F.array_intersect(claim_tokens, window_tokens))
-    coverage = hits / F.greatest(F.size(claim_tokens), F.lit(1))
-    density = hits / F.greatest(F.size(window_tokens), F.lit(1))
+def scores(hits: Column, claim_size: Column, window_size: Column) -> tuple[Column, Column]:
+    """(coverage, overlap) of a window with so many hits."""
+    coverage = hits / F.greatest(claim_size, F.lit(1))
+    density = hits / F.greatest(window_size, F.lit(1))
     return coverage, T.clamp01(coverage * 0.78 + F.least(density * 3, F.lit(1.0)) * 0.22)
 
 
-def best_windows(claim_tokens: Column, sentences: Column, limit: int = LIMIT) -> Column:
+def best_windows(claim_set: Column, sentences: Column, sets: Column, limit: int = LIMIT, clip=lambda t: T.clip(t, 700)) -> Column:
     """array<struct<text, overlap, coverage, position>>, best first, the earlier of equals first; empty for a claim without
-    tokens. Row by row, so it runs on streams and needs no shuffle. claim_tokens are distinct."""
+    tokens. claim_set and sets (one for each sentence) are distinct tokens, made once a claim and once a source. Row by row,
+    so it runs on streams and needs no shuffle.
+    """
+    none = F.array().cast("array<string>")
 
-    order = lambda a, b: F.when(a["overlap"] != b["overlap"], F.when(a["overlap"] > b["overlap"], -1).otherwise(1)).otherwise(a["position"] - b["position"])
+    def scored(met: Column, claim_size: Column) -> Column:
+        def one(own: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(sets, i + 1), none)
+            both = F.size(own) + F.size(after) - F.size(F.array_intersect(own, after))
+            hits = F.size(F.array_union(F.get(met, i), F.coalesce(F.get(met, i + 1), none)))
+            coverage, overlap = scores(hits, claim_size, both)
+            return F.struct((-overlap).alias("less"), i.alias("position"), coverage.alias("coverage"))
 
-    def scored(whole: Column, i: Column, ct: Column) -> Column:
-        def of(wt: Column) -> Column:
-            coverage, overlap = _scores(ct, wt)
-            return F.struct(whole.alias("text"), overlap.alias("overlap"), coverage.alias("coverage"), i.alias("position"))
+        return F.transform(sets, one)
 
-        return T.let(F.array_distinct(T.tokenize(whole)), of)
-
-    def ranked(ct: Column, ss: Column) -> Column:
-        every = F.transform(ss, lambda s, i: T.let(F.concat_ws(" ", s, F.get(ss, i + 1)), lambda w: scored(w, i, ct)))
-        kept = F.slice(F.array_sort(every, order), 1, limit)
-        return F.transform(kept, lambda w: F.struct(T.clip(w["text"], 700).alias("text"), w["overlap"].alias("overlap"), w["coverage"].alias("coverage"), w["position"].alias("position")))
-
-    return T.let(claim_tokens, lambda ct: T.let(F.when(F.size(ct) > 0, sentences).otherwise(F.slice(sentences, 1, 0)), lambda ss: ranked(ct, ss)))
+    some = F.when(F.size(claim_set) > 0, sets).otherwise(F.slice(sets, 1, 0))
+    kept = T.let(F.transform(some, lambda s: F.array_intersect(s, claim_set)), lambda met: F.when(F.size(met) > 0, F.slice(F.array_sort(scored(met, F.size(claim_set))), 1, limit)))
+    text = lambda w: clip(F.concat_ws(" ", F.get(sentences, w["position"]), F.get(sentences, w["position"] + 1)))
+    found = F.transform(kept, lambda w: F.struct(text(w).alias("text"), (-w["less"]).alias("overlap"), w["coverage"].alias("coverage"), w["position"].alias("position")))
+    return F.coalesce(found, F.array().cast("array<struct<text:string,overlap:double,coverage:double,position:int>>"))
 
 
 def windows_long(pairs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The same as rows (id, rank, position, coverage, overlap): a window function per case, for sources too long for one row."""
-    s = pairs.select("id", F.array_distinct(T.tokenize(F.col("claim"))).alias("ct"), F.posexplode(T.split_sentences(F.col("evidence"))).alias("position", "s"))
+    s = pairs.select("id", T.token_set(F.coalesce("claim", F.lit(""))).alias("ct"), F.posexplode(T.split_sentences(F.col("evidence"))).alias("position", "s"))
     by = Window.partitionBy("id").orderBy("position")
-    s = s.withColumn("whole", F.concat_ws(" ", "s", F.lead("s").over(by))).where("size(ct) > 0")
-    coverage, overlap = _scores(F.col("ct"), F.array_distinct(T.tokenize(F.col("whole"))))
+    s = s.where("size(ct) > 0").withColumn("whole", F.concat_ws(" ", "s", F.lead("s").over(by))).withColumn("wt", T.token_set(F.col("whole")))
+    coverage, overlap = scores(F.size(F.array_intersect("ct", "wt")), F.size("ct"), F.size("wt"))
     s = s.select("id", "position", coverage.alias("coverage"), overlap.alias("overlap"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("overlap").desc(), "position"))
     return s.withColumn("rank", rank).where(F.col("rank") <= limit)

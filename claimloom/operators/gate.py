@@ -14,6 +14,6 @@ def aggregate(decision: Column) -> Column:
 
 
 def gate(answers: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
-    """(key, gate) for every answer; one without decisions abstains."""
-    found = decisions.groupBy(key).agg(aggregate(F.col("decision")).alias("gate"))
-    return answers.select(key).distinct().join(found, key, "left").select(key, F.coalesce("gate", F.lit("ABSTAIN")).alias("gate"))
+    """(key, gate) for every answer; one without decisions abstains. A null key is a key as any other."""
+    found = decisions.groupBy(F.col(key).alias("_of")).agg(aggregate(F.col("decision")).alias("gate"))
+    return answers.select(key).distinct().join(found, F.col(key).eqNullSafe(F.col("_of")), "left").select(key, F.coalesce("gate", F.lit("ABSTAIN")).alias("gate"))
