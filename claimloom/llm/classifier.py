@@ -142,16 +142,21 @@ def fit(docs: DataFrame, side: Column, text: str = "text", size: int = BUCKETS,
     if not rows:
         return np.zeros(size, np.float32), np.zeros(size, np.int8)
     n_good, n_bad = (max(1, x) for x in rows[0]["docs"])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64).reshape(4, -1) for r in rows], axis=1)
-    good, bad = counts[GOOD], counts[BAD]
-    expected = counts[RAW] * (counts[TARGET].sum() / max(1, counts[RAW].sum()))
-    ratio = np.log((counts[TARGET] + KAPPA) / (expected + KAPPA))
-    share, q = (bad + 1e-9) / (bad + good + 2e-9), n_bad / (n_good + n_bad)
-    evidence = bad * np.log(share / q) + good * np.log((1 - share) / (1 - q))
-    lean = np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))
-    floor = LEAST_NATS + np.log(max(2, np.count_nonzero(bad + good)))
-    level = np.where(np.abs(lean) >= np.log(LEAST_TIMES), np.clip(np.floor(np.log(np.maximum(evidence, 1e-9) / floor) / np.log(FLOOR_STEP)) + 1, 0, FLOORS), 0).astype(np.int8)
-    return np.where(level > 0, ratio, 0).astype(np.float32), level
+    slices = [np.frombuffer(r["counts"], np.int64).reshape(4, -1) for r in rows]
+    sums = sum(c.sum(axis=1) for c in slices)
+    floor = LEAST_NATS + np.log(max(2, sum(int(np.count_nonzero(c[GOOD] + c[BAD])) for c in slices)))
+    q, rate = n_bad / (n_good + n_bad), sums[TARGET] / max(1, sums[RAW])
+    weights, levels = [], []
+    for c in slices:
+        good, bad = c[GOOD].astype(float), c[BAD].astype(float)
+        ratio = np.log((c[TARGET] + KAPPA) / (c[RAW] * rate + KAPPA))
+        share = (bad + 1e-9) / (bad + good + 2e-9)
+        evidence = bad * np.log(share / q) + good * np.log((1 - share) / (1 - q))
+        lean = np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))
+        level = np.where(np.abs(lean) >= np.log(LEAST_TIMES), np.clip(np.floor(np.log(np.maximum(evidence, 1e-9) / floor) / np.log(FLOOR_STEP)) + 1, 0, FLOORS), 0)
+        weights.append(np.where(level > 0, ratio, 0).astype(np.float32))
+        levels.append(level.astype(np.int8))
+    return np.concatenate(weights), np.concatenate(levels)
 
 
 def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ngram: int = NGRAM) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 64 << 20
-#: A key with more than one row in so many is hot; there are at most so many hot keys.
+#: A key with more than one row in so many, and more than HOT_ROWS, is hot; there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1024
+HOT_ROWS = 1000
+#: Components of so many links at most are found by one task (16 bytes a link); more links take rounds over all executors.
+ONE_TASK_LINKS = 2_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -58,25 +61,52 @@ def small_enough(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES)
 def join_values(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
     """rows joined to values, which has one row for each key and in `count` how many rows have it (values is cut already).
 
-    Keys of over a HOT_SHARE-th of all rows, at most HOT_SHARE of them, are joined by broadcast; the rest by a shuffle in which no
-    key is hot. So one key may hold any share of the rows. Rows and values need not be unique otherwise; null keys match nothing.
+    Hot keys (over a HOT_SHARE-th of all rows, so at most HOT_SHARE of them) are joined by broadcast; the rest by a shuffle in which
+    no key is hot. So one key may hold any share of the rows. Null keys match nothing.
     """
-    total = values.agg(F.sum(count)).first()[0] or 0
-    hot = values.where(F.col(count) * HOT_SHARE > total)
-    if hot.isEmpty():
+    total, most = values.agg(F.sum(count), F.max(count)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= bound:
         return rows.join(values.drop(count), key)
-    hot = F.broadcast(hot.drop(count))
-    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(count) * HOT_SHARE <= total).drop(count), key)
+    hot = F.broadcast(cut(values.where(F.col(count) > bound).drop(count)))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(count) <= bound).drop(count), key)
     return rows.join(hot, key).unionByName(rest)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _one_task(batches):
+    """Components of all links by array passes: each node takes the least component of its neighbours, then its component's own."""
+    import numpy as np
+    import pyarrow as pa
+
+    found = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    none = np.zeros(0, np.int64)
+    u, v = (np.concatenate([none, *(f[i] for f in found)]) for i in range(2))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    comp = np.arange(len(nodes))
+    while True:
+        low = np.minimum(comp[a], comp[b])
+        new = comp.copy()
+        for x in (a, b, comp[a], comp[b]):  # also the roots, so that whole components join
+            np.minimum.at(new, x, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == comp).all():
+            break
+        comp = new
+    yield pa.RecordBatch.from_pydict({"node": nodes, "component": nodes[comp]})
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, one_task: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (a long, b long): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round is cut, and rounds grow with the logarithm of the diameter. Minima
-    are partial aggregates, and the neighbours of a hub meet its minimum by a broadcast of hubs alone, so no task takes a hub whole.
+    Few links (one_task at most, by default ONE_TASK_LINKS) go to one task. More take alternating large-star and small-star steps;
+    each round is cut, and rounds grow with the logarithm of the diameter. Minima are partial aggregates, and the neighbours of a
+    hub meet its minimum by a broadcast of hubs alone, so no task takes a hub whole.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    if pairs.count() <= (ONE_TASK_LINKS if one_task is None else one_task):
+        return cut(pairs.coalesce(1).mapInArrow(_one_task, "node long, component long"))
     seen = None
     for _ in range(rounds):
         # large star: every larger neighbour of u goes to the least of u and its neighbours

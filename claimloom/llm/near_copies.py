@@ -208,12 +208,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     dealt = nodes.where("n > 0").select("node", "n", "fp", F.explode("bands").alias("s"))
     several = dealt.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1")
     shared = cut(join_values(dealt, cut(several), "s", "sets"))
-    one = cut(verified(cut(candidates(shared.withColumn("part", F.col("node")), similarity, budget, True)), docs, nodes, size, similarity))
+    one = cut(verified(candidates(shared.withColumn("part", F.col("node")), similarity, budget, True), docs, nodes, size, similarity))
     parts = connected_components(one).withColumnRenamed("component", "part")
     left = shared.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     # a band value whose sets are in one part already has nothing left to find
     open_ = left.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
     left = cut(left.join(open_, "s", "left_semi"))
-    two = verified(cut(candidates(left, similarity, budget, False)), docs, nodes, size, similarity)
+    two = verified(candidates(left, similarity, budget, False), docs, nodes, size, similarity)
     named = name_components(nodes.select("node", "least", "rows"), "node", connected_components(one.unionByName(two)))
     return join_values(rowed.select("k", "h", "node"), named, "node", "rows").select(F.col("k").alias(key), F.col("h").alias("text_id"), "component_id")
