@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, join_values, small_enough
-from .simhash import descend, in_blocks, name_components, ranges, shingle_hashes
+from .simhash import descend, in_blocks, link, name_components, ranges, shingle_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -21,7 +21,7 @@ ROWS = 2
 #: Bits in which fingerprints of linked sets may differ: at 0.8, 9.7 on average with a deviation of 2.9.
 BUDGET = 22
 #: Rows in a task; a band value that more sets share is compared in parts.
-SHARD_ROWS = 200_000
+SHARD_ROWS = 100_000
 HOT = 10_000
 EPS = 1e-9
 #: Bits of a set's map of hashes: two maps differ in no more bits than their sets in elements.
@@ -79,77 +79,94 @@ def bands_of(hs, bands: int, rows: int) -> list[int]:
     return out
 
 
-def near_pairs(group, side, fp, node, part, n, similarity: float, budget: int, first: bool):
-    """Pairs of nodes of different parts in one group that may be as similar: fingerprints within the budget, sizes alike.
+def maybe(a, b, n, maps, similarity: float):
+    """Which pairs of rows can be as similar: by their sizes, and by the bits in which their maps differ."""
+    import numpy as np
+
+    ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - EPS
+    at = np.flatnonzero(ok)
+    for part in np.array_split(at, len(at) // 100_000 + 1):
+        i, j = a[part], b[part]
+        apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        ok[part] = apart <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + EPS
+    return ok
+
+
+def centres(u, group):
+    """For each row the place of its group's row that is nearest to the group's majority of bits (rows sorted by group)."""
+    import numpy as np
+
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(first, len(group)))
+    major = np.zeros(len(first), np.uint64)
+    for bit in range(64):
+        ones = np.add.reduceat((u >> np.uint64(bit) & np.uint64(1)).astype(np.int64), first)
+        major |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    far = np.bitwise_count(u ^ np.repeat(major, size))
+    order = np.lexsort((far, group))
+    return np.repeat(order[first], size)
 
-    first: only pairs of neighbours, by size and by fingerprint, and of each node with the group's first; they join most of a
-    dense group, so that the descent after it meets little but what is left.
+
+def near_pairs(group, side, fp, node, part, n, maps, similarity: float, budget: int, first: bool):
+    """Pairs of nodes of different parts in one group that may be as similar: fingerprints within the budget, sizes and maps alike.
+
+    first: only spanning pairs of each with its group's centre and of neighbours by fingerprint; they join most of a dense group,
+    so that the descent after it, which finds every pair, meets little but what is left.
     """
     import numpy as np
 
     u = fp.view(np.uint64)
     order = np.lexsort((u, side, group))
-    group, side, u, node, n = group[order], side[order], u[order], node[order], n[order]
+    group, side, u, node, n, maps = group[order], side[order], u[order], node[order], n[order], maps[order]
     _, comp = np.unique(part[order], return_inverse=True)
     found = [np.zeros((0, 2), np.int64)]
 
-    def meet(a, b):
-        ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - EPS)
+    def keep(a, b):
+        ok = comp[a] != comp[b]
+        a, b = a[ok], b[ok]
+        ok = maybe(a, b, n, maps, similarity)
         found.append(np.sort(np.stack([node[a[ok]], node[b[ok]]], 1), axis=1))
+        return a[ok], b[ok]
+
+    def meet(a, b):
+        keep(a, b)
         if sum(map(len, found)) > 4_000_000:
             found[:] = [np.unique(np.concatenate(found), axis=0)]
         return comp
 
+    if not len(u):
+        return found[0]
     if first:
-        for by in (n, u, u << np.uint64(32) | u >> np.uint64(32)):
-            o = np.lexsort((by, group))
-            new = np.append(True, group[o][1:] != group[o][:-1])
-            i = np.flatnonzero(~new)
-            for other in (i - 1, np.flatnonzero(new)[np.cumsum(new)[i] - 1]):
-                a, b = o[other], o[i]
-                ok = np.bitwise_count(u[a] ^ u[b]) <= budget
-                meet(a[ok], b[ok])
+        comp = np.arange(len(u))
+        turned = np.lexsort((u << np.uint64(32) | u >> np.uint64(32), group))
+        for a, b in ((centres(u, group), np.arange(len(u))), (np.arange(len(u) - 1), np.arange(1, len(u))), (turned[:-1], turned[1:])):
+            ok = (group[a] == group[b]) & (np.bitwise_count(u[a] ^ u[b]) <= budget)
+            comp = link(comp, *keep(a[ok], b[ok]))
     else:
         descend(u, comp, ranges(group, side), budget, meet)
     return np.unique(np.concatenate(found), axis=0)
 
 
 def candidates(shared: DataFrame, similarity: float, budget: int, first: bool, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Distinct pairs (a, b) of different parts that share a band and may be similar. shared: (s, node, fp, n, part)."""
+    """Distinct pairs (a, b) of different parts that share a band and may be similar. shared: (s, node, fp, n, map, part)."""
 
     def run(t):
+        import numpy as np
         import pyarrow as pa
 
         group, side, fp, node, part, n = (t.column(c).to_numpy().copy() for c in ("block", "side", "fp", "node", "part", "n"))
-        pairs = near_pairs(group, side, fp, node, part, n, similarity, budget, first)
+        maps = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)
+        pairs = near_pairs(group, side, fp, node, part, n, maps, similarity, budget, first)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     shards = max(1, -(-shared.count() // shard_rows))
-    dealt = in_blocks(shared, "s", "node", HOT).select("node", "fp", "n", "part", "block", "side", F.pmod("block", F.lit(shards)).alias("shard"))
+    dealt = in_blocks(shared, "s", "node", HOT).select("node", "fp", "n", "map", "part", "block", "side", F.pmod("block", F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs without those whose bit maps alone prove that they differ in too many elements."""
-
-    def check(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64) for c in "xy")
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            most = (1 - similarity) / (1 + similarity) * (t.column("m").to_numpy() + t.column("n").to_numpy())
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(apart <= most + EPS))
-
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("map").alias("x"))
-    two = pairs.join(left, "a").join(nodes.select(F.col("node").alias("b"), "n", F.col("map").alias("y")), "b")
-    return two.select("a", "b", "m", "n", "x", "y").mapInArrow(check, "a long, b long")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs whose sets, computed again from the texts, are as similar."""
-    pairs = cut(possible(pairs, nodes, similarity))
+    pairs = cut(pairs)
 
     def sets(batches):
         import pyarrow as pa
@@ -205,7 +222,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     rowed = cut(docs.mapInArrow(prepare, f"k {dict(docs.dtypes)['k']}, h long, node long, n long, fp long, bands array<long>, map binary"))
     nodes = cut(rowed.groupBy("node").agg(F.min("k").alias("least"), F.count("*").alias("rows"), F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "map")]))
-    dealt = nodes.where("n > 0").select("node", "n", "fp", F.explode("bands").alias("s"))
+    dealt = nodes.where("n > 0").select("node", "n", "fp", "map", F.explode("bands").alias("s"))
     several = dealt.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1")
     shared = cut(join_values(dealt, cut(several), "s", "sets"))
     one = cut(verified(candidates(shared.withColumn("part", F.col("node")), similarity, budget, True), docs, nodes, size, similarity))
