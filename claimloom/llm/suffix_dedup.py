@@ -11,8 +11,11 @@ from .keyed import bucket_bounds, buckets_of, key_bits, pack, pack_sorted, packe
 LENGTH = 50
 #: Bytes of a string by whose hash strings are dealt out: the least hash among a string's parts is its anchor.
 PART = 20
+#: Text in a batch and in a bucket: a worker holds a few dozen bytes for each of a batch's, and a bucket's pieces.
+BATCH_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 #: A task sorts so many shards, one by one.
-SHARDS = 8
+SHARDS = 4
 #: An anchor whose strings take more bytes than this in the corpus is hot: they are dealt out one by one, by their own hash.
 HOT_BYTES = 1 << 20
 #: Anchor keys have so many bits more than the text has bytes by logarithm; a shared key only costs a comparison.
@@ -190,10 +193,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         raise ValueError("a string needs to have between 1 and 31 bytes more than a part")
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col(key).alias("k"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.col(text).alias("t"))
-    batches = packed(rows, "t", None, **{k: v for k, v in sizes.items() if k == "batch_bytes"})
+    sizes = {"batch_bytes": BATCH_BYTES, "bucket_bytes": BUCKET_BYTES} | sizes
+    batches = packed(rows, "t", None, sizes["batch_bytes"])
     total = volume(batches)
     bits = key_bits(total, SPARE)
-    buckets = buckets_of(total, **{k: v for k, v in sizes.items() if k == "bucket_bytes"})
+    buckets = buckets_of(total, sizes["bucket_bytes"])
     shards = buckets * SHARDS
 
     def ask(parts):
