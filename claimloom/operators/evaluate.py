@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def opaque(df: DataFrame) -> DataFrame:
+    """df behind a generator of one row, through which no filter is pushed: what stands below is computed once however often it is asked about."""
+    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -19,11 +24,44 @@ def core_metrics(df: DataFrame, *by: str, label: str = "label", pred: str = "pre
     return df.withColumns({"balanced_accuracy": (F.col("recall") + ratio(tn, tn + fp)) / 2, "f1": ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))})
 
 
-def abstention_views(df: DataFrame) -> DataFrame:
-    """Metrics of decided rows, of all with undecided accepted, and of all with undecided escalated; one scan."""
-    views = df.select("*", F.explode(F.array(*map(F.lit, ("decided", "accept", "escalate")))).alias("view")).where("view != 'decided' or decided")
-    filled = F.when(F.col("decided"), F.col("pred")).when(F.col("view") == "accept", 1).otherwise(0)
-    return core_metrics(views.withColumn("pred", filled), "view")
+def abstention_views(df: DataFrame, *by: str) -> DataFrame:
+    """Metrics of decided rows, of all with undecided accepted, and of all with undecided escalated, with the share that is decided; one scan."""
+    views = df.select("*", F.explode(F.array(*map(F.lit, ("decided", "accept", "escalate")))).alias("view"))
+    filled = F.when(F.col("decided"), F.col("pred")).when(F.col("view") == "accept", 1).when(F.col("view") == "escalate", 0)
+    views = views.withColumn("pred", filled)  # null, so in no cell, where an undecided row does not count
+    coverage = views.groupBy(*by, "view").agg(F.avg(F.col("decided").cast("double")).alias("coverage"), F.count("*").alias("n_total"), F.count_if("decided").alias("n_decided"))
+    metrics = core_metrics(views, *by, "view")
+    same = [metrics[c].eqNullSafe(coverage[c]) for c in (*by, "view")]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return metrics.join(coverage, on).select(*[metrics[c] for c in metrics.columns], "coverage", "n_total", "n_decided")
+
+
+UNDECIDED = ("UNVERIFIABLE", "UNREACHABLE", "UNCITED")
+
+
+def prediction_analysis(df: DataFrame, *by: str) -> DataFrame:
+    """(predicted, expected) as metrics with abstention rate and the accuracy of what was decided. Undecided predictions are in no cell.
+
+    The false accept rate is over unsupported cases; it is 0 where no decided case is or was told supported.
+    """
+    told = ~F.col("predicted").isin(*UNDECIDED)
+    side = lambda c: F.when(told, (F.col(c) == "SUPPORTED").cast("int"))
+    rows = df.withColumns({"_label": side("expected"), "_pred": side("predicted"), "_open": (~told).cast("double")})
+    metrics = core_metrics(rows.withColumnsRenamed({"_label": "label", "_pred": "pred"}), *by)
+    open_ = rows.groupBy(*by).agg(F.avg("_open").alias("abstention_rate"), F.count("*").alias("n"))
+    both = metrics.join(open_, list(by)) if by else metrics.crossJoin(open_)  # one row each
+    far = F.when((F.col("fn") + F.col("tn") > 0) & (F.col("fn") + F.col("tp") > 0), F.col("far")).otherwise(0.0)
+    return both.withColumns({"far": far, "coverage_conditioned_accuracy": F.col("accuracy")})
+
+
+def prediction_sweep(df: DataFrame, steps: int = 20) -> DataFrame:
+    """(threshold, tp.., precision, recall, f1, far, frr): a case is flagged where it is told unsupported with at least that confidence (null: .5)."""
+    rows = df.where(~F.col("predicted").isin(*UNDECIDED))
+    rows = rows.select((F.col("expected") == "SUPPORTED").cast("int").alias("label"), F.col("predicted"), F.coalesce("confidence", F.lit(0.5)).alias("c"), F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias("threshold"))
+    flagged = (F.col("predicted") == "UNSUPPORTED") & (F.col("c") >= F.col("threshold"))
+    return core_metrics(rows.withColumn("pred", (~flagged).cast("int")), "threshold")
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float], score: str = "score", label: str = "label") -> DataFrame:
@@ -54,11 +92,11 @@ def benchmark_summary(df: DataFrame) -> DataFrame:
 
 
 def per_signal(df: DataFrame) -> DataFrame:
-    """(name, fires, correct): signals that take a side, against `expected`."""
+    """(name, fires, correct, incorrect): signals that take a side, against `expected`."""
     # outer: else a filter on the array is pushed below and computes all signals again
     x = df.select("expected", F.explode_outer("signals").alias("s")).where("s.verdict in ('SUPPORT', 'CONTRADICT')")
     ok = (F.col("s.verdict") == "SUPPORT") == (F.col("expected") == "SUPPORTED")
-    return x.groupBy(F.col("s.name").alias("name")).agg(F.count("*").alias("fires"), F.count_if(ok).alias("correct"))
+    return x.groupBy(F.col("s.name").alias("name")).agg(F.count("*").alias("fires"), F.count_if(ok).alias("correct"), F.count_if(~ok).alias("incorrect"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -67,10 +105,15 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n > 0, (mid - half) / den).otherwise(0.0), F.when(n > 0, (mid + half) / den).otherwise(0.0)
 
 
-def compose_tiers(first: DataFrame, second: DataFrame) -> DataFrame:
-    """first's decided rows, and second's for the rest, by id; both need the same ids, else it raises when run."""
-    odd = first.select("id").exceptAll(second.select("id")).unionByName(second.select("id").exceptAll(first.select("id")))
-    if not odd.isEmpty():
+def same_ids(first: DataFrame, second: DataFrame) -> bool:
+    """Whether both have the same ids, each as often. Runs a job."""
+    mark = lambda df, n: df.select("id", F.lit(n).alias("n"))
+    return mark(first, 1).unionByName(mark(second, -1)).groupBy("id").agg(F.sum("n").alias("n")).where("n != 0").isEmpty()
+
+
+def compose_tiers(first: DataFrame, second: DataFrame, check: bool = True) -> DataFrame:
+    """first's decided rows, and second's for the rest, by id. With check, different ids raise at once (which runs a job over the ids)."""
+    if check and not same_ids(first, second):
         raise ValueError("the tiers do not have the same ids")
     both = first.alias("a").join(second.alias("b"), "id")
     return both.select("id", F.when(F.col("a.decided"), F.col("a.pred")).otherwise(F.col("b.pred")).alias("pred"), F.when(F.col("a.decided"), "tier1").otherwise("tier2").alias("tier"))

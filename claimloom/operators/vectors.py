@@ -59,7 +59,8 @@ def best_in_blocks(claim: DataFrame, source: DataFrame, block: int = 2000) -> Da
         return pa.table({"case": c.column("case"), "pos": c.column("pos"), "best": pa.array(at[j[first]]), "sim": pa.array(sim[first])})
 
     def dealt(df, own, n, other, m):
-        return df.select("case", "pos", "vec", F.pmod(F.xxhash64("pos"), F.lit(n).cast("long")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+        # new columns, as both sides may come from one frame
+        return df.select(*[F.col(c).alias(c) for c in ("case", "pos", "vec")], F.pmod(F.xxhash64("pos"), F.lit(n).cast("long")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
 
     types, kinds = dict(claim.dtypes), dict(source.dtypes)
     keys = ["case", "down", "across"]
@@ -75,10 +76,11 @@ def monotone_share(aligned: DataFrame) -> DataFrame:
     return steps.groupBy("case").agg(F.when(n > 0, F.count_if(F.col("best") >= F.col("before")) / n).otherwise(1.0).alias("share"))
 
 
-def alignment_score(aligned: DataFrame, numeric: Column | None = None) -> DataFrame:
-    """(case, score, verdict): .40 mean + .20 least + .25 numeric match + .15 monotone share, and its thresholds."""
+def alignment_score(aligned: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """(case, score, verdict): .40 mean + .20 least + .25 numeric match + .15 monotone share, and its thresholds. numbers: (case, n), the share of numbers that match; 1 where it is not given."""
     base = aligned.groupBy("case").agg(F.avg("sim").alias("mean"), F.min("sim").alias("least"), F.count_if(F.col("sim") < 0.4).alias("low"))
-    x = base.join(monotone_share(aligned), "case").withColumn("numeric", numeric if numeric is not None else F.lit(1.0))
+    x = base.join(monotone_share(aligned), "case")
+    x = x.join(numbers, "case").withColumnRenamed("n", "numeric") if numbers is not None else x.withColumn("numeric", F.lit(1.0))
     x = x.withColumn("score", 0.40 * F.col("mean") + 0.20 * F.col("least") + 0.25 * F.col("numeric") + 0.15 * F.col("share"))
     verdict = F.when((F.col("score") >= 0.65) & (F.col("numeric") >= 0.5) & (F.col("low") == 0), "SUPPORT").when((F.col("score") < 0.45) | (F.col("numeric") < 0.3) | (F.col("low") >= 2), "CONTRADICT").otherwise("NEUTRAL")
     return x.select("case", "score", verdict.alias("verdict"))

@@ -73,7 +73,8 @@ def test_calibration_leaves_one_out(spark):
 def test_both_window_forms_agree(spark):
     text = "The first sentence tells about rivers. The second sentence tells about lakes! A third one is about mountains and rivers? Short. Another sentence about rivers follows here."
     df = spark.createDataFrame([("x", "rivers and lakes are about mountains", text)], "id string, claim string, evidence string")
-    short = df.select(evidence.best_windows(F.array_distinct(T.tokenize(F.col("claim"))), T.split_sentences(F.col("evidence"))).alias("w")).first().w
+    df = df.withColumn("ss", T.split_sentences(F.col("evidence")))
+    short = df.select(evidence.best_windows(T.token_set(F.col("claim")), F.col("ss"), T.token_sets(F.col("ss"))).alias("w")).first().w
     long = evidence.windows_long(df).orderBy("rank").collect()
     assert [(w.position, w.overlap) for w in short] == [(r.position, r.overlap) for r in long]
 
@@ -87,3 +88,57 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("verified").collect())) == sorted(map(tuple, graph.verify(df).select("id", "decision").collect()))
+
+
+def test_white_space_of_any_script(spark):
+    """No-break and other spaces are white space, as plain ones are."""
+    claim, source = "old Paris tower stands", "There the old Paris tower stands today in the rain."
+    plain, other = one(spark, claim, source), one(spark, claim, source.replace(" ", "\u00a0"))
+    assert (plain.decision, plain.evidence_coverage) == (other.decision, other.evidence_coverage) == ("ACCEPT", 1.0)
+    df = spark.createDataFrame([("\x1cNew\u00a0York  and\x85more\u3000",)], "t string")
+    r = df.select(T.collapse(F.col("t")).alias("c"), T.extract_entities(F.col("t")).alias("e"), T.clip(F.col("t"), 10).alias("k"), T.extract_numbers(F.lit("\u0663\u0664 and 5")).alias("n")).first()
+    assert (r.c, r.e, r.k, r.n) == ("New York and more", ["New\u00a0York"], "New Yor...", ["\u0663\u0664", "5"])
+
+
+@pytest.mark.parametrize(
+    "contradiction, coverage, support, want",
+    [(0.78, 1.0, 1.0, "REJECT"), (0.77, 1.0, 1.0, "REVISE"), (0.0, 0.17, 1.0, "ABSTAIN"), (0.0, 0.18, 1.0, "REVISE"), (0.24, 0.74, 0.78, "ACCEPT"), (0.25, 0.74, 0.78, "REVISE"), (0.0, 0.73, 0.78, "REVISE"), (0.0, 0.74, 0.77, "REVISE")],
+)
+def test_gate_thresholds(spark, contradiction, coverage, support, want):
+    df = spark.createDataFrame([(contradiction, coverage, support, "e", [])], "contradiction_score double, evidence_coverage double, support_score double, evidence_head string, windows array<struct<text:string>>")
+    assert graph.decide(df).first().decision == want
+
+
+@pytest.mark.parametrize("coverage, fires", [(0.54, False), (0.55, True), (0.56, True)])
+def test_negation_threshold(spark, coverage, fires):
+    df = spark.createDataFrame([("it is not so", "it is so", coverage, "p")], "claim_norm string, primary_norm string, coverage double, primary string")
+    assert (df.select(signals.negation_contradiction().alias("s")).first().s is not None) == fires
+
+
+@pytest.mark.parametrize("coverage, verdict", [(0.65, "SUPPORT"), (0.64, "NEUTRAL"), (0.18, "INSUFFICIENT"), (0.19, "NEUTRAL")])
+def test_coverage_thresholds(spark, coverage, verdict):
+    df = spark.createDataFrame([(coverage, "p")], "coverage double, primary string")
+    assert df.select(signals.evidence_coverage().alias("s")).first().s.verdict == verdict
+
+
+def test_graph_of_a_claim(spark):
+    r = one(spark, "Jaws was directed by Steven Spielberg in 1975.", "Jaws is a 1975 thriller film directed by Steven Spielberg.")
+    nodes, edges = {n.id: n for n in r.nodes}, {(e.source, e.target): e for e in r.edges}
+    assert nodes["relation:directed-by-steven-spielberg-in-"].score == 1.0 and nodes["evidence:0"].detail.startswith("Jaws is a 1975") and nodes["source:0"].label == "source:0"
+    assert edges["quantity:1975", "evidence:0"].label == "number match" and edges["entity:jaws", "evidence:0"].label == "entity match" and edges["source:0", "evidence:0"].label.endswith("% coverage")
+    assert nodes["gate:0"].detail == f"risk={r.contradiction_score:.2f}"
+
+
+def test_streams_of_gates_and_ids(spark, tmp_path):
+    from claimloom.streaming import verify_stream as V
+
+    rows = [("a", "x", "ACCEPT", "2024-01-01 00:01:00"), ("a", "x", "ACCEPT", "2024-01-01 00:01:00"), ("b", "x", "REJECT", "2024-01-01 00:02:00"), ("c", "y", "ACCEPT", "2024-01-01 00:03:00")]
+    df = spark.createDataFrame(rows, "id string, answer_id string, decision string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    for name, made, mode in (("gates", V.gate_stream(stream), "complete"), ("fresh", V.fresh(stream), "append")):
+        q = made.writeStream.format("memory").queryName(name).outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {r.answer_id: r.gate for r in spark.table("gates").collect()} == {"x": "REJECT", "y": "ACCEPT"}
+    assert sorted(r.id for r in spark.table("fresh").collect()) == ["a", "b", "c"]
