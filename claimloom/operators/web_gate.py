@@ -85,7 +85,7 @@ def cascade(detected: DataFrame, model: Tier | None = None, judge: Tier | None =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return attach(out.withColumn("confidence", F.col("confidence").cast("double"))).drop("verdict")
+    return opaque(attach(out.withColumn("confidence", F.col("confidence").cast("double"))).drop("verdict"))
 
 
 def result_scores(status: Column, support: Column, contradiction: Column, confidence: Column) -> Column:
@@ -185,7 +185,7 @@ def claim_graph(pairs: DataFrame) -> DataFrame:
     Edges of one source, target and kind, and nodes of one id, are kept once, the first. The gate is that of the one result.
     """
     L = F.lit
-    df = R.run(pairs)
+    df = opaque(R.run(pairs))
     v = F.col("verdict")
     one = df.select("id", F.coalesce(v["status"], L("UNVERIFIABLE")).alias("status"), "support_score", "contradiction_score", v["confidence"].alias("confidence"))
     gate = acceptance_gate(one.select("id"), one, "id").select("id", F.struct("decision", "score", "risk", "summary").alias("gate"))
@@ -201,6 +201,7 @@ def claim_graph(pairs: DataFrame) -> DataFrame:
         "_r": ids("relation", W.graph_relations(F.col("claim")), lambda x: T.let(W.tokenize(x), lambda ts: F.when(F.size(ts) > 0, F.size(F.filter(ts, lambda t: F.array_contains("claim_set", t) | F.array_contains("text_set", t))) / F.size(ts)).otherwise(0.0))),
         "_s": F.filter(F.transform("signals", lambda s, i: F.struct(s.alias("s"), F.concat(L("signal:"), F.lower(s["name"]), L(":"), i.cast("string")).alias("id"))), lambda x: x["s"]["verdict"] != "NEUTRAL"),
     })
+    df = opaque(df)
     ev = lambda i: F.concat(L("evidence:"), i.cast("string"))
     kind_of = lambda s: F.when(s["verdict"] == "CONTRADICT", "contradicts").when(s["verdict"] == "SUPPORT", "supports").otherwise("attenuates")
     pct = lambda c: F.concat(F.floor(c * 100 + 0.5).cast("int").cast("string"), L("% coverage"))
