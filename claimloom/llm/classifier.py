@@ -124,7 +124,7 @@ def _add(size: int):
         for c in t.column("counts"):
             total += unpack(c.as_py(), len(total), np.int64)
         docs = np.array(t.column("docs").to_pylist()).sum(axis=0)
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary()), "docs": pa.array([docs.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([pack(total)], pa.binary()), "docs": pa.array([docs.tolist()], pa.list_(pa.int64()))})
 
     return run
 
@@ -142,12 +142,13 @@ def fit(docs: DataFrame, side: Column, text: str = "text", size: int = BUCKETS,
     if not rows:
         return np.zeros(size, np.float32), np.zeros(size, np.int8)
     n_good, n_bad = (max(1, x) for x in rows[0]["docs"])
-    slices = [np.frombuffer(r["counts"], np.int64).reshape(4, -1) for r in rows]
-    sums = sum(c.sum(axis=1) for c in slices)
-    floor = LEAST_NATS + np.log(max(2, sum(int(np.count_nonzero(c[GOOD] + c[BAD])) for c in slices)))
+    width = 4 * size // SLICES
+    slices = lambda: (unpack(r["counts"], width, np.int64).reshape(4, -1) for r in rows)  # noqa: E731  # one at a time, twice
+    sums = sum(c.sum(axis=1) for c in slices())
+    floor = LEAST_NATS + np.log(max(2, sum(int(np.count_nonzero(c[GOOD] + c[BAD])) for c in slices())))
     q, rate = n_bad / (n_good + n_bad), sums[TARGET] / max(1, sums[RAW])
     weights, levels = [], []
-    for c in slices:
+    for c in slices():
         good, bad = c[GOOD].astype(float), c[BAD].astype(float)
         ratio = np.log((c[TARGET] + KAPPA) / (c[RAW] * rate + KAPPA))
         share = (bad + 1e-9) / (bad + good + 2e-9)
