@@ -223,19 +223,19 @@ ORACLE = {
     "eight_rules": f"with {Q.PAIRS}, {Q.VERIFIED}, {Q.EIGHT} select name, verdict, count(*) n from fired group by 1, 2",
     "retention": f"with {Q.TURNS}, {Q.VERIFIED}, {Q.GATE} select grp conv_id, gate, claims from gate",
     "core_metrics": f"with {_RUNS}, sums as (select {_GRADE} from runs), rates as (select *, {_RATES} from sums) select {_FINAL} from rates",
-    "abstention_views": f"with {_RUNS}, v as (select y, case when decided then p when name = 'accept' then 1 else 0 end p, name as \"view\" from runs, (values ('decided'), ('accept'), ('escalate')) n(name) where name <> 'decided' or decided), sums as (select \"view\", {_GRADE} from v group by 1), rates as (select *, {_RATES} from sums) select \"view\", {_FINAL} from rates",
+    "abstention_views": f"with {_RUNS}, v as (select y, decided, case when decided then p when name = 'accept' then 1 when name = 'escalate' then 0 end p, name as \"view\" from runs, (values ('decided'), ('accept'), ('escalate')) n(name)), sums as (select \"view\", {_GRADE}, round(avg(decided::int), 6) coverage, count(*) n_total, count(*) filter (decided) n_decided from v group by 1), rates as (select *, {_RATES} from sums) select \"view\", {_FINAL}, coverage, n_total, n_decided from rates",
     "threshold_sweep": f"with {_SWEEP} select threshold, {_FINAL} from rates",
     "threshold_best": f"with {_SWEEP} select threshold, round(balanced_accuracy, 6) balanced_accuracy from rates order by balanced_accuracy desc, threshold limit 1",
     "calibration": f"with {_SCORED}, b as (select i, avg(s) c, avg((y = 1)::int) a, count(*) n from (select *, case when s < 1 then (select max(i) from range(0, 10) r(i) where s >= i / 10.0::double) end i from scored) group by 1) select round(coalesce(sum(case when i is not null then abs(c - a) * n end) / sum(n), 0), 6) ece, sum(n)::bigint scored from b",
     "benchmark_summary": f"""with {Q.PAIRS}, {Q.VERIFIED}, {_EXPECTED}, s as (select count(*) total, {", ".join(f"count(*) filter ({'' if side == 'supported' else 'not '}gold and decision {op}) {side}_{name}" for side in ("supported", "unsupported") for name, op in (("accepted", "= 'ACCEPT'"), ("rejected", "= 'REJECT'"), ("routed", "not in ('ACCEPT', 'REJECT')")))}, count(*) filter (gold) supported, count(*) filter (not gold) unsupported from gold)
 select *, round(unsupported_accepted / greatest(unsupported, 1), 6) false_accept_rate, round(supported_rejected / greatest(supported, 1), 6) false_reject_rate from s""",
-    "per_signal": f"with {Q.PAIRS}, {Q.VERIFIED}, {_EXPECTED}, fired as (select 'LEXICAL_OVERLAP' name, gold from gold where lex >= 0.6 union all select 'EVIDENCE_COVERAGE', gold from gold where cover >= 0.65) select name, count(*) fires, count(*) filter (gold) correct from fired group by 1",
+    "per_signal": f"with {Q.PAIRS}, {Q.VERIFIED}, {_EXPECTED}, fired as (select 'LEXICAL_OVERLAP' name, gold from gold where lex >= 0.6 union all select 'EVIDENCE_COVERAGE', gold from gold where cover >= 0.65) select name, count(*) fires, count(*) filter (gold) correct, count(*) filter (not gold) incorrect from fired group by 1",
     "breakdown": "select source, lang, grouping(source, lang) level, count(*) n, sum(n_chars)::bigint chars from documents group by rollup (source, lang)",
     "wilson_by_source": "with x as (select source, sum(quality)::bigint k, count(*) n from documents join labels using (doc_id) group by 1), p as (select *, k / n p, 1.96 z from x) select source, k, n, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) high from p",
     "tier_compose": f"with {_RUNS} select case when decided then 'tier1' else 'tier2' end tier, count(*) n, sum(case when decided then p else 1 - p end)::bigint accepted from runs group by 1",
     "resume_anti": "select doc_id id from documents where doc_id not in (select doc_id from labels where doc_id is not null)",
     "sampling": "select doc_id, length(text) n from (select text, min(doc_id) doc_id from documents where length(text) > 500 and length(text) < 3000 group by 1) order by sha256('seed-42' || text), doc_id limit 60",
     "url_predicates": r"select page_id, host, regexp_matches(host, '(\.edu|\.ac\.|arxiv|doi\.org)') academic, regexp_matches(url, 'utm_') tracked from (select *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) host from pages)",
-    "page_text": r"select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) digest from pages",
+    "page_text": r"select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '\[([^\]]*)\]\(https?://[^)]+\)', '\1', 'g'), 'https?://\S+', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) digest from pages",
     "cosine_argmax": "with s as (select label + 1 l, vec_id v, embedding::double[] e, sqrt(list_inner_product(embedding::double[], embedding::double[])) n from embeddings), p as (select a.vec_id, s.v, list_inner_product(a.e, s.e) / (a.n * s.n) c from (select vec_id, label, embedding::double[] e, sqrt(list_inner_product(embedding::double[], embedding::double[])) n from embeddings) a join s on a.label = l) select vec_id, v best, round(c, 6) sim from p qualify row_number() over (partition by vec_id order by c desc, v) = 1",
 }
