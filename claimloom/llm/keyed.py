@@ -3,7 +3,7 @@
 A batch is one row: some megabytes of whole rows as one compressed Arrow stream, made where the rows are read and written once, so
 texts move compressed and a lost task finds the same batches again. A batch sends each bucket its distinct keys there as one
 packed, sorted list, so a key met very often in the corpus still costs a batch one entry, and a bucket answers in the batch's own
-order. Buckets cut the key space evenly; their number follows the input's bytes. There are never more lists than distinct keys.
+order. Buckets cut the key space into parts of as many keys; their number follows the input's bytes. There are never more lists than distinct keys.
 """
 
 from __future__ import annotations

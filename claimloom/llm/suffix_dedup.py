@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .keyed import bucket_bounds, buckets_of, key_bits, pack, pack_sorted, packed, raw_texts, settle, unpack, unpack_rows, unpack_sorted, volume
+from .keyed import buckets_of, key_bits, pack, pack_sorted, packed, raw_texts, settle, unpack, unpack_rows, unpack_sorted, volume
 
 LENGTH = 50
 #: Bytes of a string by whose hash strings are dealt out: the least hash among a string's parts is its anchor.
@@ -66,6 +66,23 @@ def runs(b: bytes, length: int, part: int):
     return m[first], first, count
 
 
+def bucket_starts(buckets: int, bits: int, width: int):
+    """The least anchor key of each bucket, so that buckets get as many distinct anchors each.
+
+    A hash is an anchor where it is the least of `width` in turn, so low keys are met far more often: one of x (0..1) is an anchor
+    with a chance in proportion to (1 - x)**(width - 1) * (1 + (width - 1) * x). Made once, so that all tasks cut alike.
+    """
+    import numpy as np
+
+    want = np.arange(buckets) / buckets
+    low, high = np.zeros(buckets), np.ones(buckets)
+    for _ in range(64):
+        x = (low + high) / 2
+        below = ((width + 1) * (1 - (1 - x) ** width) - (width - 1) * (1 - (1 - x) ** (width + 1))) / 2
+        low, high = np.where(below < want, x, low), np.where(below < want, high, x)
+    return (low * 2.0**bits).astype(np.uint64)
+
+
 def _ids(column):
     """Document ids; null stands after all."""
     import numpy as np
@@ -199,6 +216,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     bits = key_bits(total, SPARE)
     buckets = buckets_of(total, sizes["bucket_bytes"])
     shards = buckets * SHARDS
+    begins = bucket_starts(buckets, bits, length - part + 1)
 
     def ask(parts):
         import numpy as np
@@ -207,7 +225,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for p in parts:
             for batch, blob in zip(p.column("batch").to_pylist(), p.column("rows").to_pylist(), strict=True):
                 b = Batch(blob, length, part, bits)
-                more, size, at = b.shared_inside(), b.bytes_of(), bucket_bounds(b.keys, buckets, bits)
+                more, size, at = b.shared_inside(), b.bytes_of(), np.append(np.searchsorted(b.keys, begins), len(b.keys))
                 some = np.flatnonzero(np.diff(at))
                 cuts = [slice(at[i], at[i + 1]) for i in some]
                 yield pa.RecordBatch.from_arrays(

@@ -81,6 +81,16 @@ def test_suffix_dedup_of_a_hot_anchor(spark):
     assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
 
 
+def test_anchors_are_dealt_evenly(spark, monkeypatch):
+    """Least hashes are low ones: buckets of equal width gave the first of 24 buckets over half of all anchors."""
+    rng, flags, settle = random.Random(9), [], suffix_dedup.settle
+    monkeypatch.setattr(suffix_dedup, "settle", lambda make: flags.append(settle(make)) or flags[-1])
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop", k=20_000))) for i in range(24)]
+    assert suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=20_100).count() == 24
+    n = [r[1] for r in flags[0].groupBy("bucket").agg(F.sum("n")).collect()]
+    assert len(n) == 24 and max(n) < 1.5 * sum(n) / len(n)
+
+
 def test_whole_characters_are_cut(spark):
     shared = "ß" * 30
     rows = [(0, "a" + shared), (1, "\ufffdé" + shared[:25] + "ä\ufffd")]
