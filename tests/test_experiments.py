@@ -216,3 +216,11 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "b.json").write_text(json.dumps([{"claim": "Mount Everest is 6848 meters tall.", "evidence": EVEREST, "expected": "UNSUPPORTED"}, {"claim": "x", "evidence": "y", "expected": "SUPPORTED"}]))
     assert cli.main(["bench", str(tmp_path / "b.json"), "--limit", "1"], spark) == 0
     assert json.loads(capsys.readouterr().out)["unsupported_rejected"] == 1
+
+
+def test_signal_accuracy_asks_nothing_below_its_sums(spark):
+    rows = [("a", True, 1, 1), ("a", True, 0, 1), ("b", False, 1, 1), (None, True, 1, 1)]
+    runs = spark.createDataFrame(rows, "signal string, decided boolean, pred int, label int").withColumn("signal", F.get(F.filter(F.array("signal"), lambda s: F.length(s) > 0), F.lit(0)))
+    out = X.signal_accuracy(runs)
+    assert [tuple(r) for r in out.collect()] == [("a", 1, 2, 0.5, False)]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
