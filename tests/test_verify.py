@@ -79,6 +79,22 @@ def test_both_window_forms_agree(spark):
     assert [(w.position, w.overlap) for w in short] == [(r.position, r.overlap) for r in long]
 
 
+def test_long_windows_meet_blocks_and_shuffle_no_texts(spark):
+    words = ["rivers", "lakes", "mountains", "valleys", "forests", "meadows", "harbors"]
+    text = " ".join(f"Sentence {i} tells about {words[i % 7]} and {words[i * 3 % 5]} here." for i in range(23))
+    cases = [("a", 1, "rivers and lakes are about mountains"), ("b", 1, "forests near meadows tell of harbors"), ("c", 1, "of"), ("d", 2, "rivers are about"), ("e", 3, "rivers are about"), ("f", 4, "nowhere named")]
+    claims, sources = spark.createDataFrame(cases, "id string, of int, claim string"), spark.createDataFrame([(1, text), (2, "Rivers are about here and there."), (3, None)], "of int, evidence string")
+    both = claims.join(sources, "of", "left")
+    one = both.withColumn("ss", T.split_sentences(F.coalesce("evidence", F.lit("")))).select("id", evidence.best_windows(T.token_set(F.col("claim")), F.col("ss"), T.token_sets(F.col("ss"))).alias("w"))
+    want = {(r.id, i + 1, w.position, w.coverage, w.overlap) for r in one.collect() for i, w in enumerate(r.w)}
+    assert len(want) == 7
+    for size in (1, 2, 5, 22, 23, 256):
+        for got in (evidence.windows_long(both, size=size), evidence.windows_long_against(claims, sources, "of", size=size)):
+            assert {(r.id, r["rank"], r.position, r.coverage, r.overlap) for r in got.collect()} == want
+    plan = evidence.windows_long(both)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number") and "lead(" not in plan  # windows are ranked as numbers, no sentences cross a shuffle
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from claimloom.streaming import verify_stream as V
 
