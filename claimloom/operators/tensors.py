@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import text as T
+
 #: The place of each kind's mark in a feature row.
 KIND_OFFSETS = {"claim": 0, "source": 7, "evidence": 14, "entity": 21, "quantity": 28, "relation": 35, "signal": 42, "gate": 49}
 
@@ -18,15 +20,26 @@ def hash_bucket(text: Column, buckets: int) -> Column:
 def feature_rows(nodes: Column, support: Column, contradiction: Column, size: int = 64) -> Column:
     """array<array<double>>: for each node 1 at its kind, .5 more at its label's bucket, and at the end its score, the graph's support and contradiction. A graph without nodes has one row of zeros."""
     kind = F.create_map(*[x for k, v in KIND_OFFSETS.items() for x in (F.lit(k), F.lit(v % size))])
+    places = F.array(*[F.lit(i) for i in range(size - 3)])
 
     def row(n: Column) -> Column:
-        at = lambda i: (i == kind[n["kind"]]).cast("double") + F.when(i == hash_bucket(n["label"], size), 0.5).otherwise(0.0)
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == size - 3, n["score"]).when(i == size - 2, support).when(i == size - 1, contradiction).otherwise(at(i)))
+        def placed(x: Column) -> Column:  # kind and bucket are found once a node, not once a place
+            at = lambda i: (i == x["kind"]).cast("double") + F.when(i == x["bucket"], 0.5).otherwise(0.0)
+            return F.concat(F.transform(places, at), F.array(n["score"], support, contradiction))
+
+        return T.let(F.struct(kind[n["kind"]].alias("kind"), hash_bucket(n["label"], size).alias("bucket")), placed)
 
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0), size), 1)
     return F.when(F.size(nodes) > 0, F.transform(nodes, row)).otherwise(zeros)
 
 
+def place_sums(features: DataFrame, size: int = 64) -> DataFrame:
+    """(place, x, n): sums over all rows of feature_rows in column f, and how many rows there are; one row of partial sums a task goes on, not one a place of a node."""
+    rows = features.select(F.explode_outer("f").alias("row"))
+    sums = rows.agg(F.array(*[F.sum(F.get("row", F.lit(i))) for i in range(size)]).alias("x"), F.count("row").alias("n")).where("n > 0")
+    return sums.select(F.posexplode("x").alias("place", "x"), "n")
+
+
 def edge_index(nodes: Column, edges: Column) -> Column:
     """array<struct<src, dst, weight>>: edges by their nodes' places; edges to nodes that are not there are dropped."""
     ids = F.transform(nodes, lambda n: n["id"])

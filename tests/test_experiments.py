@@ -11,7 +11,7 @@ from claimloom import cli
 from claimloom.operators import evaluate as V
 from claimloom.operators import experiments as X
 from claimloom.operators import models as M
-from claimloom.operators import signals, tensors
+from claimloom.operators import graph, signals, tensors
 from claimloom.sources import io, tables
 
 EVEREST = "Mount Everest is Earths highest mountain above sea level, with an elevation of 8,849 meters. Mount Everest is located in the Himalayas."
@@ -224,3 +224,15 @@ def test_signal_accuracy_asks_nothing_below_its_sums(spark):
     out = X.signal_accuracy(runs)
     assert [tuple(r) for r in out.collect()] == [("a", 1, 2, 0.5, False)]
     assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+
+
+def test_node_features_sum_places_without_a_row_a_place(spark):
+    nodes = [("claim:0", "claim", "c", 0.5), ("source:0", "source", "s", 1.0)]
+    df = spark.createDataFrame([(1, nodes, 0.6, 0.2), (2, [], 0.0, 0.0)], "id int, nodes array<struct<id:string,kind:string,label:string,score:double>>, s double, c double")
+    f = df.select(tensors.feature_rows(F.col("nodes"), F.col("s"), F.col("c")).alias("f"))
+    out = tensors.place_sums(f)
+    got, want = {r.place: (r.x, r.n) for r in out.collect()}, np.array([row for r in f.collect() for row in r.f]).sum(0)
+    assert len(got) == 64 and all(n == 3 for _, n in got.values()) and np.allclose([got[i][0] for i in range(64)], want)
+    assert tensors.place_sums(f.where("false")).count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and plan.index("posexplode") < plan.index("Aggregate") and plan.count("sha2") == 1
