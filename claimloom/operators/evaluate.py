@@ -15,10 +15,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def core_metrics(df: DataFrame, *by: str, label: str = "label", pred: str = "pred") -> DataFrame:
-    """tp, fp, fn, tn, balanced accuracy, accuracy, precision, recall, f1, false accept and reject rates, by groups."""
+def core_metrics(df: DataFrame, *by: str, label: str = "label", pred: str = "pred", more: tuple[Column, ...] = ()) -> DataFrame:
+    """tp, fp, fn, tn, balanced accuracy, accuracy, precision, recall, f1, false accept and reject rates, by groups; more: other aggregates of the same pass."""
     y, p = F.col(label), F.col(pred)
-    df = df.groupBy(*by).agg(F.count_if((y == 0) & (p == 0)).alias("tp"), F.count_if((y == 1) & (p == 0)).alias("fp"), F.count_if((y == 0) & (p == 1)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tn"))
+    df = df.groupBy(*by).agg(*more, F.count_if((y == 0) & (p == 0)).alias("tp"), F.count_if((y == 1) & (p == 0)).alias("fp"), F.count_if((y == 0) & (p == 1)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tn"))
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     df = df.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "far": ratio(fn, tp + fn), "frr": ratio(fp, fp + tn), "accuracy": ratio(tp + tn, tp + fp + fn + tn)})
     return df.withColumns({"balanced_accuracy": (F.col("recall") + ratio(tn, tn + fp)) / 2, "f1": ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))})
@@ -29,13 +29,10 @@ def abstention_views(df: DataFrame, *by: str) -> DataFrame:
     views = df.select("*", F.explode(F.array(*map(F.lit, ("decided", "accept", "escalate")))).alias("view"))
     filled = F.when(F.col("decided"), F.col("pred")).when(F.col("view") == "accept", 1).when(F.col("view") == "escalate", 0)
     views = views.withColumn("pred", filled)  # null, so in no cell, where an undecided row does not count
-    coverage = views.groupBy(*by, "view").agg(F.avg(F.col("decided").cast("double")).alias("coverage"), F.count("*").alias("n_total"), F.count_if("decided").alias("n_decided"))
-    metrics = core_metrics(views, *by, "view")
-    same = [metrics[c].eqNullSafe(coverage[c]) for c in (*by, "view")]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return metrics.join(coverage, on).select(*[metrics[c] for c in metrics.columns], "coverage", "n_total", "n_decided")
+    more = (F.avg(F.col("decided").cast("double")).alias("coverage"), F.count("*").alias("n_total"), F.count_if("decided").alias("n_decided"))
+    metrics = core_metrics(views, *by, "view", more=more)
+    last = ("coverage", "n_total", "n_decided")
+    return metrics.select(*[c for c in metrics.columns if c not in last], *last)
 
 
 UNDECIDED = ("UNVERIFIABLE", "UNREACHABLE", "UNCITED")

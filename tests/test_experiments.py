@@ -236,3 +236,14 @@ def test_node_features_sum_places_without_a_row_a_place(spark):
     assert tensors.place_sums(f.where("false")).count() == 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 2 and plan.index("posexplode") < plan.index("Aggregate") and plan.count("sha2") == 1
+
+
+def test_ablation_builds_the_graph_once(spark):
+    rows = [("1", "Mount Everest is located in the Himalayas", EVEREST, 1), ("2", "Mount Everest is 6848 meters tall.", EVEREST, 0), ("3", "Nothing of the kind was ever said", "Short.", 0), ("4", EVEREST, EVEREST, 1), ("5", None, None, 0)]
+    ready = graph.with_signals(graph.prepare(spark.createDataFrame(rows, "id string, claim string, evidence string, label int"))).withColumn("label", F.col("label") + 0)
+    each = ready.withColumn("variant", F.explode(F.array(F.lit("full"), *map(F.lit, signals.DEFAULT_RULES)))).withColumn("signals", F.filter("signals", lambda s: s["name"] != F.col("variant")))
+    want = X.run_rows(graph.decide(graph.build_graph(each))).select("variant", "label", "pred", "decided")
+    assert sorted(map(tuple, X.without_each(ready).collect())) == sorted(map(tuple, want.collect()))
+    plan = V.abstention_views(X.without_each(ready), "variant")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("entity missing") == 1 and "Join" not in plan
+    assert plan.rindex("Generate explode") < plan.index("entity missing")  # the graph stands below the variants
