@@ -163,3 +163,16 @@ def test_claim_graph(spark):
 def test_comparison(spark):
     r = G.comparison(spark.createDataFrame([(529, 103, 19)], "unsupported int, rejected int, false_accepts int")).first()
     assert r.abstained == 407 and abs(r.far_of_all - 19 / 529) < 1e-12 and abs(r.far_of_decided - 19 / 122) < 1e-12
+
+
+def test_claims_read_only_their_own_text_and_window(spark):
+    text = "The harbor festival\u00a0 attracted 500 visitors last summer. " + "Boats of many  kinds came to the old harbor in June. " * 30
+    claims = spark.createDataFrame([("a", 1, "The harbor festival attracted 500 visitors"), ("b", 2, "Boats came to the harbor"), ("c", 3, None)], "id string, of int, claim string")
+    sources = spark.createDataFrame([(1, text), (2, "Menu  of\tthe day")], "of int, evidence string")
+    out = R.run_against(claims, sources, "of")
+    got = {r.id: r for r in out.collect()}
+    assert got["a"].signals[0].evidence == spark.createDataFrame([(text,)], "t string").select(W.clip(F.substring("t", 1, 2000), 180).alias("c")).first().c and len(got["a"].signals[0].evidence) <= 183
+    assert got["b"].signals[0].evidence == "Menu of the day" and got["c"].signals[0].evidence == ""
+    assert got["a"].windows[0].text == "The harbor festival attracted 500 visitors last summer. Boats of many kinds came to the old harbor in June."
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert above.count(f", {W.SPACE}+, ") == 1  # white space is made single once a source; here only for a source without sentences
