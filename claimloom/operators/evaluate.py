@@ -15,6 +15,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def exact_sum(x: Column, places: int) -> Column:
+    """A rounded sum of doubles that does not depend on their order: added as decimals, halves go away from zero."""
+    return F.round(F.sum(x.cast("decimal(28,15)")), places).cast("double")
+
+
 def core_metrics(df: DataFrame, *by: str, label: str = "label", pred: str = "pred", more: tuple[Column, ...] = ()) -> DataFrame:
     """tp, fp, fn, tn, balanced accuracy, accuracy, precision, recall, f1, false accept and reject rates, by groups; more: other aggregates of the same pass."""
     y, p = F.col(label), F.col(pred)

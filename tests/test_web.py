@@ -176,3 +176,11 @@ def test_claims_read_only_their_own_text_and_window(spark):
     assert got["a"].windows[0].text == "The harbor festival attracted 500 visitors last summer. Boats of many kinds came to the old harbor in June."
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert above.count(f", {W.SPACE}+, ") == 1  # white space is made single once a source; here only for a source without sentences
+
+
+def test_sums_of_signals_do_not_depend_on_order(spark):
+    from claimloom.operators.evaluate import exact_sum
+
+    rows = spark.createDataFrame([(i, 0.0005 if i % 2 else 1e6 / (3 if i % 4 else -3)) for i in range(4000)] + [(4000, 0.0005)], "i int, x double")
+    sums = [rows.orderBy(*by).coalesce(1).agg(exact_sum(F.col("x"), 3).alias("s")).first().s for by in (["i"], [F.desc("i")], [F.hash("i")])]
+    assert sums == [1.001] * 3  # 2001 times 0.0005, a half, which goes up
